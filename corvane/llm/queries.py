@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import licences, media, secrets, simhash
+from corvane.llm import licences, media, mixing, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        mixing.op1_cube_mixing,
         simhash.op4_simhash_golay,
         licences.op8_licence_digests,
         secrets.op9_secret_ownership,
