@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import licences, media, mixing, secrets, simhash
+from corvane.llm import licences, media, mixing, packing, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         mixing.op1_cube_mixing,
         simhash.op4_simhash_golay,
+        packing.op5_bounded_packing,
         licences.op8_licence_digests,
         secrets.op9_secret_ownership,
         media.op10_media_columns,
