@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import WORD, documents, written
 
 WEIGHTS = (3, 1, 2)
-STRATUM = 20_000
+STRATUM = 2_000
 LANDING = 12
 DRAWN = "doc_id long, source string, size long, source_size long, target double, base long, tag long, strata long, p double"
 
