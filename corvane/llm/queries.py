@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import licences, media, mixing, packing, secrets, simhash
+from corvane.llm import licences, lm, media, mixing, packing, quality, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         mixing.op1_cube_mixing,
+        quality.op3_importance_resampling,
         simhash.op4_simhash_golay,
         packing.op5_bounded_packing,
+        lm.op7_eliasfano_lm,
         licences.op8_licence_digests,
         secrets.op9_secret_ownership,
         media.op10_media_columns,
