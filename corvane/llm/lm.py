@@ -47,7 +47,6 @@ ROWS = "kind int, block long, shard long, data binary"
 ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int64()), ("data", pa.binary())])
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 DOCS, WORDS, COUNTS, PAIRS, CODES = range(5)
-UNKNOWN, START, FIRST = 0, 1, 2
 GRID = 10.0 ** np.arange(-1, 7.5, 0.5)
 
 
@@ -128,112 +127,111 @@ def _rows(table: pa.Table) -> list[tuple]:
     return sorted(zip(*(table[c].to_pylist() for c in ("kind", "block", "shard", "data")), strict=True), key=lambda r: r[:3])
 
 
-def count_words(shards: int):
-    """For a shard: corpus counts and numbers of its words, answered in the order each block asked."""
+def count_words(table: pa.Table) -> pa.Table:
+    """For a shard: corpus counts of its words, and their ranks by hash among those counted, in the order each block asked."""
+    asked = _rows(table)
+    shard = asked[0][2]
+    parts = [unpack(r[3]) for r in asked]
+    sizes = [len(p[0]) for p in parts]
+    hashes, place = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
+    counts = np.bincount(place, np.concatenate([p[1] for p in parts]), minlength=len(hashes)).astype(np.int64)
+    ranks = np.maximum(np.cumsum(counts > 0) - 1, 0)
+    ends = int(counts[hashes == np.uint64(xxhash.xxh64_intdigest(b""))].sum())
+    out = [(COUNTS, -1, shard, pack(np.array([counts.sum(), (counts > 0).sum(), ends], np.int64)))]
+    for r, p in zip(asked, np.split(place, np.cumsum(sizes)[:-1]), strict=True):
+        out.append((COUNTS, r[1], shard, pack(small(counts[p]), small(ranks[p]))))
+    return pa.Table.from_batches([_batch(out)])
 
-    def each(table: pa.Table) -> pa.Table:
-        asked = _rows(table)
-        shard = asked[0][2]
-        parts = [unpack(r[3]) for r in asked]
-        sizes = [len(p[0]) for p in parts]
-        hashes, place = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([p[1] for p in parts]), minlength=len(hashes)).astype(np.int64)
-        numbers = np.where(counts > 0, FIRST + (np.cumsum(counts > 0) - 1) * shards + shard, UNKNOWN)
-        end = np.uint64(xxhash.xxh64_intdigest(b""))
-        ends = int(counts[hashes == end].sum())
-        out = [(COUNTS, -1, shard, pack(np.array([counts.sum(), (counts > 0).sum(), ends], np.int64)))]
-        for r, p in zip(asked, np.split(place, np.cumsum(sizes)[:-1]), strict=True):
-            out.append((COUNTS, r[1], shard, pack(small(counts[p]), small(numbers[p]))))
-        return pa.Table.from_batches([_batch(out)])
-
-    return each
 
+class Totals:
+    """What all blocks know: shards, training tokens, distinct words before each shard, training documents."""
 
-def hot_count(total: int, shards: int) -> int:
-    """The pairs of contexts that occur more often are dealt over all shards."""
-    return max(1 << 16, total // (8 * shards))
+    def __init__(self, shards: int, found: dict[int, tuple[int, int, int]]):
+        sizes = [found.get(s, (0, 0, 0)) for s in range(shards)]
+        self.shards, self.tokens, self.ends = shards, sum(x[0] for x in sizes), sum(x[2] for x in sizes)
+        self.before = np.concatenate(([0], np.cumsum([x[1] for x in sizes])))
+        self.distinct = int(self.before[-1])
+        #: The pairs of contexts that occur more often are dealt over all shards.
+        self.hot = max(1 << 16, self.tokens // (8 * shards))
 
 
 class Block:
-    """A block with its words' counts and numbers, and what it asks of the bigram shards."""
+    """A block with its words' counts and numbers, and what it asks of the bigram shards.
+
+    Words are numbered by hash over the corpus, so the block's own order is the
+    order of numbers; START comes after all words.
+    """
 
-    def __init__(self, rows: list[tuple], shards: int, total: int, distinct: int, ends: int):
+    def __init__(self, rows: list[tuple], totals: Totals):
         docs = next(r for r in rows if r[0] == DOCS)
-        self.block = docs[1]
+        self.block, self.totals = docs[1], totals
         self.ids, self.null, self.held, lengths, tokens, (n,) = unpack(docs[3])
         self.lengths, self.tokens = lengths.astype(np.int64), tokens.astype(np.int64)
-        answers = [unpack(r[3]) for r in rows if r[0] == COUNTS]
-        self.counts = np.concatenate([a[0] for a in answers]).astype(np.int64)
-        self.numbers = np.concatenate([a[1] for a in answers]).astype(np.int64)
-        self.base = (self.counts + 0.1) / (total + 0.1 * (distinct + 1))
+        answers = [(r[2], *unpack(r[3])) for r in rows if r[0] == COUNTS]
+        self.counts = np.append(np.concatenate([a[1] for a in answers]).astype(np.int64), totals.ends)
+        self.numbers = np.append(np.concatenate([totals.before[a[0]] + a[2] for a in answers]), totals.distinct)
+        self.base = (self.counts[:-1] + 0.1) / (totals.tokens + 0.1 * (totals.distinct + 1))
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
-        # START follows the block's own words
-        before = np.concatenate(([n], self.tokens[:-1]))
-        before[self.starts] = n
-        self.before, self.after = before, self.tokens
-        self.context_counts = np.append(self.counts, ends)
-        self.context_numbers = np.append(self.numbers, START if ends else UNKNOWN)
-        self.known = (self.context_counts[before] > 0) & (self.counts[self.tokens] > 0)
-        self.keys = self.before * (n + 1) + self.after
-        self.pairs = np.unique(self.keys[self.known])
-        self.hot = hot_count(total, shards)
-        context, word = np.divmod(self.pairs, n + 1)
-        contexts = np.unique(self.before[self.context_counts[self.before] > 0])
-        self.home = np.full(len(self.context_counts), -1)
-        self.home[contexts] = self._mix(self.context_numbers[contexts]) % shards
-        spread = np.where(self.context_counts[context] > self.hot, self._mix(self.numbers[word]), 0)
-        shard = (self._mix(self.context_numbers[context]) + spread) % shards
-        self.order = np.lexsort((self.numbers[word], self.context_numbers[context], shard))
-        context, word, shard = context[self.order], word[self.order], shard[self.order]
-        self.pair_context, self.pair_word, self.pair_shard, self.contexts = context, word, shard, contexts
-
-    @staticmethod
-    def _mix(numbers: np.ndarray) -> np.ndarray:
-        return (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+        self.before = np.concatenate(([n], self.tokens[:-1]))
+        self.before[self.starts] = n
+        self.known = (self.counts[self.before] > 0) & (self.counts[self.tokens] > 0)
+        keys = (self.before * (n + 1) + self.tokens)[self.known]
+        self.sorting = np.argsort(keys)
+        keys = keys[self.sorting]
+        new = np.diff(keys, prepend=-1) != 0
+        self.group, self.first = np.cumsum(new) - 1, np.flatnonzero(new)
+        self.context, self.word = np.divmod(keys[new], n + 1)
+        seen = np.zeros(n + 1, bool)
+        seen[self.before] = True
+        contexts = np.flatnonzero(seen & (self.counts > 0))
+        mixed = (self.numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+        home = mixed % totals.shards
+        spread = np.where(self.counts[self.context] > totals.hot, mixed[self.word], 0)
+        shard = ((mixed[self.context] + spread) % totals.shards).astype(np.uint16)
+        self.order = np.argsort(shard, kind="stable")
+        self.bounds = np.searchsorted(shard[self.order], np.arange(totals.shards + 1))
+        by_home = contexts[np.argsort(home[contexts].astype(np.uint16), kind="stable")]
+        self.contexts = np.split(by_home, np.searchsorted(home[by_home], np.arange(1, totals.shards)))
 
     def asks(self) -> list[tuple]:
         """For each shard: its contexts, their counts and numbers of pairs; the pairs' words, training counts and base probabilities."""
-        train = np.repeat(self.held, self.lengths) == 0
-        keys, n = np.unique(self.keys[train & self.known], return_counts=True)
-        counts = np.zeros(len(self.pairs), np.int64)
-        counts[np.searchsorted(self.pairs, keys)] = n
-        counts = counts[self.order]
+        train = (np.repeat(self.held, self.lengths) == 0)[self.known][self.sorting]
+        counts = np.add.reduceat(train.astype(np.int64), self.first)[self.order] if len(self.first) else self.first
         logs = np.clip(np.round(-25 * np.log10(self.base)), 0, 255).astype(np.uint8)
+        contexts, words = self.context[self.order], self.word[self.order]
         out = []
-        shards = np.unique(np.concatenate((self.pair_shard, self.home[self.contexts])))
-        for s in shards.tolist():
-            a, b = np.searchsorted(self.pair_shard, [s, s + 1])
-            own = self.contexts[self.home[self.contexts] == s]
-            asked = np.concatenate((own, self.pair_context[a:b]))
-            c, first = np.unique(self.context_numbers[asked], return_index=True)
-            count = self.context_counts[asked[first]]
-            size = np.bincount(np.searchsorted(c, self.context_numbers[self.pair_context[a:b]]), minlength=len(c))
-            word = self.pair_word[a:b]
-            out.append((PAIRS, self.block, s, pack(small(np.diff(c, prepend=0)), small(count), small(size), small(self.numbers[word]), small(counts[a:b]), logs[word])))
+        for s, own in enumerate(self.contexts):
+            a, b = self.bounds[s : s + 2]
+            if a == b and not len(own):
+                continue
+            c = np.unique(np.concatenate((own, contexts[a:b])))
+            size = np.bincount(np.searchsorted(c, contexts[a:b]), minlength=len(c))
+            w = words[a:b]
+            out.append((PAIRS, self.block, s, pack(small(np.diff(self.numbers[c], prepend=0)), small(self.counts[c]), small(size), small(self.numbers[w]), small(counts[a:b]), logs[w])))
         return out
 
-    def scores(self, rows: list[tuple], total: int) -> pa.RecordBatch:
-        seen = np.zeros(len(self.pairs))
-        weight = np.zeros(len(self.context_counts))
-        bucket = np.frexp(np.maximum(self.context_counts, 1))[1]
+    def scores(self, rows: list[tuple]) -> pa.RecordBatch:
+        found, weight = np.zeros(len(self.first)), np.zeros(len(self.counts))
+        bucket = np.frexp(np.maximum(self.counts, 1))[1]
         for r in rows:
             if r[0] == CODES:
                 codes, book, m = unpack(r[3])
-                a, b = np.searchsorted(self.pair_shard, [r[2], r[2] + 1])
-                seen[self.order[a:b]] = book[codes]
-                own = self.contexts[self.home[self.contexts] == r[2]]
+                a, b = self.bounds[r[2] : r[2] + 2]
+                found[self.order[a:b]] = book[codes]
+                own = self.contexts[r[2]]
                 weight[own] = m[bucket[own]]
-        hot = self.context_counts > self.hot
-        weight[hot] = self.context_counts[hot]
-        back = np.where(self.context_counts > 0, weight / (self.context_counts + np.maximum(weight, 1e-300)), 1.0)
-        base = self.base[self.tokens]
-        p = back[self.before] * base
-        p[self.known] += seen[np.searchsorted(self.pairs, self.keys[self.known])]
+        hot = self.counts > self.totals.hot
+        weight[hot] = self.counts[hot]
+        back = np.where(self.counts > 0, weight / (self.counts + np.maximum(weight, 1e-300)), 1.0)
+        p = back[self.before] * self.base[self.tokens]
+        seen = np.empty(len(self.group))
+        seen[self.sorting] = found[self.group]
+        p[self.known] += seen
         sums = lambda x: np.add.reduceat(x, self.starts)
         known = sums((self.counts[self.tokens] > 0).astype(np.int64))
         columns = [
             pa.array(self.ids, pa.int64(), mask=self.null.astype(bool)), pa.array(self.held.astype(bool)), pa.array(self.lengths, pa.int64()), pa.array(known, pa.int64()),
-            pa.array(np.full(len(self.ids), total), pa.int64()), pa.array(sums(np.log10(base))), pa.array(sums(np.log10(p))),
+            pa.array(np.full(len(self.ids), self.totals.tokens), pa.int64()), pa.array(sums(np.log10(self.base)[self.tokens])), pa.array(sums(np.log10(p))),
         ]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCORES.split(", ")])
 
@@ -259,23 +257,28 @@ def answer_pairs(hot: int):
         for r in asked:
             contexts, count, size, word, n, log = unpack(r[3])
             size = size.astype(np.int64)
-            contexts = np.repeat(np.cumsum(contexts.astype(np.int64)), size)
-            parts.append((contexts, word.astype(np.int64), n.astype(np.int64), np.repeat(count.astype(np.int64), size), log))
-        contexts, words, n, of, log = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        keep = np.flatnonzero(n > 0)
-        wide = len(words) and max(int(words.max()), int(contexts.max())) >= 1 << 31
-        order = keep[np.lexsort((words[keep], contexts[keep])) if wide else np.argsort(contexts[keep] << 31 | words[keep], kind="stable")]
-        c, w = contexts[order], words[order]
-        first = np.flatnonzero((np.diff(c, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
-        counts = np.add.reduceat(n[order], first) if len(first) else n[:0]
-        c, w, of, log = c[first], w[first], of[order][first], log[order][first]
-        m = best_weights(counts, of, 10.0 ** (-log.astype(np.float64) / 25))
-        weight = np.where(of > hot, of, m[np.frexp(np.maximum(of, 1))[1]])
+            parts.append((np.repeat(np.cumsum(contexts.astype(np.int64)), size), word, n, np.repeat(count, size), log))
+        sizes = np.cumsum([len(p[1]) for p in parts])
+        c, w, n, of, log = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        parts.clear()
+        w = w.astype(np.int64)
+        wide = len(w) and max(int(w.max()), int(c.max())) >= 1 << 31
+        order = np.lexsort((w, c)) if wide else np.argsort(c << 31 | w)
+        c, w = c[order], w[order]
+        new = (np.diff(c, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0)
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        c, w, of, log = c[first], w[first], of[order[first]].astype(np.int64), log[order[first]]
+        counts = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else first
+        kept = counts > 0
+        base = 10.0 ** (log[kept].astype(np.float64) / -25)
+        m = best_weights(counts[kept], of[kept], base)
+        weight = np.where(of > hot, of, m[np.frexp(np.maximum(of, 1))[1]])[kept]
         with tempfile.TemporaryDirectory() as folder:
-            Trie.write(path := os.path.join(folder, "trie"), c, w, counts / (of + weight))
+            Trie.write(path := os.path.join(folder, "trie"), c[kept], w[kept], counts[kept] / (of[kept] + weight))
             trie = Trie(path)
-            out = [(CODES, r[1], r[2], pack(trie.lookup(p[0], p[1]), trie.book, m)) for r, p in zip(asked, parts, strict=True)]
-        return pa.Table.from_batches([_batch(out)])
+            book, codes = np.array(trie.book), np.empty(len(order), np.uint8)
+            codes[order] = trie.lookup(c, w)[group]
+        return pa.Table.from_batches([_batch([(CODES, r[1], r[2], pack(x, book, m)) for r, x in zip(asked, np.split(codes, sizes[:-1]), strict=True)])])
 
     return each
 
@@ -301,22 +304,20 @@ def score(docs: DataFrame, folds: int = 10, block: int = BLOCK, key: str = "doc_
 
     blocks = written(docs.select(key, text).mapInArrow(read, ROWS), "lm-blocks")
     asked = blocks.where(F.col("kind") == WORDS)
-    counted = written(asked.groupBy("shard").applyInArrow(count_words(shards), ROWS), "lm-counts")
-    total = distinct = ends = 0
-    for (data,) in counted.where("block < 0").select("data").toLocalIterator():  # three numbers for each shard
-        n, v, e = unpack(data)[0].tolist()
-        total, distinct, ends = total + n, distinct + v, ends + e
+    counted = written(asked.groupBy("shard").applyInArrow(count_words, ROWS), "lm-counts")
+    told = counted.where("block < 0").select("shard", "data").toLocalIterator()  # three numbers for each shard
+    totals = Totals(shards, {s: tuple(unpack(data)[0].tolist()) for s, data in told})
     known = blocks.where(F.col("kind") == DOCS).union(counted.where("block >= 0"))
 
     def ask(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_batch(Block(_rows(table), shards, total, distinct, ends).asks())])
+        return pa.Table.from_batches([_batch(Block(_rows(table), totals).asks())])
 
     def close(table: pa.Table) -> pa.Table:
         rows = _rows(table)
-        return pa.Table.from_batches([Block(rows, shards, total, distinct, ends).scores(rows, total)])
+        return pa.Table.from_batches([Block(rows, totals).scores(rows)])
 
     pairs = known.groupBy("block").applyInArrow(ask, ROWS)
-    codes = written(pairs.groupBy("shard").applyInArrow(answer_pairs(hot_count(total, shards)), ROWS), "lm-codes")
+    codes = written(pairs.groupBy("shard").applyInArrow(answer_pairs(totals.hot), ROWS), "lm-codes")
     return known.union(codes).groupBy("block").applyInArrow(close, SCORES)
 
 
