@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import licences, lm, media, mixing, packing, quality, secrets, simhash
+from corvane.llm import licences, lm, media, mixing, mtree, packing, quality, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quality.op3_importance_resampling,
         simhash.op4_simhash_golay,
         packing.op5_bounded_packing,
+        mtree.op6_mtree_topk,
         lm.op7_eliasfano_lm,
         licences.op8_licence_digests,
         secrets.op9_secret_ownership,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licence_digests": licences.OP8_SQL}
+    return {"op6_mtree_topk": mtree.OP6_SQL, "op8_licence_digests": licences.OP8_SQL}
