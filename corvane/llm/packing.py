@@ -18,6 +18,9 @@ empty table gives an empty result; only doc_id and text are read.
 
 from __future__ import annotations
 
+import json
+import os
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
@@ -37,8 +40,10 @@ LEAST_CUT = 16
 #: Leftover windows of so many partitions are merged by one task.
 MERGE = 16
 END = 2
-#: Distinct words whose ids a worker keeps.
-CACHE = 300_000
+#: Distinct words whose ids a worker keeps, in each of two generations.
+CACHE = 600_000
+#: ASCII punctuation without the apostrophe.
+TAIL = b"""!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"""
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ROWS = PIECES + ", task long, ids binary"
@@ -46,28 +51,112 @@ ARROW = pa.schema([*((n.split()[0], pa.int64()) for n in ROWS.split(", ")[:-1]),
 
 
 class WordEncoder:
-    """Token ids of whole texts, for a tokenizer that never joins characters across ASCII white space.
-
-    Words are encoded once while the cache holds them; it is emptied when full.
+    """Token ids of whole texts, for a lower-casing BPE with word ends that never joins characters across white space.
+
+    A word is encoded once while the cache holds it, which keeps two generations of
+    ``cache`` words. Words of letters alone, or with a tail of ASCII punctuation
+    but no apostrophe, are cut between the two, as the tokenizer does. Their
+    letters, brought to the model's characters here, are encoded many at a time, as
+    one text cut at white space alone, and parted again behind the tokens that end a word. All other
+    words are encoded one by one. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.size, self.known = Tokenizer.from_file(path), cache, {}
-
-    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        split = [(t or "").encode().split() for t in texts]
-        for k in range(0, len(split), 64):
-            part = split[k : k + 64]
+        self.tokenizer, self.size = Tokenizer.from_file(path), cache
+        self.known, self.older = {}, {}
+        plain = json.loads(self.tokenizer.to_str())
+        self.by_word = plain["model"].get("end_of_word_suffix") == "</w>" and [x["type"] for x in (plain["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        if self.by_word:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+            plain |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+            self.plain = Tokenizer.from_str(json.dumps(plain))
+
+    def _encode(self, words: Iterable[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(words), add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        known, older = self.known, self.older
+        odd, cut, fresh = [], [], {}
+        for w in new:
+            if w in older:
+                known[w] = older[w]
+            elif w.isalpha():
+                fresh[w] = w.lower().decode()
+            else:
+                core = w.rstrip(TAIL)
+                if core not in known and core not in fresh:
+                    if core in older:
+                        known[core] = older[core]
+                    elif core.isalpha():
+                        fresh[core] = core.lower().decode()
+                    elif not core.isascii() and (form := _letters(core.lower().decode())):
+                        fresh[core] = form.encode().decode("latin-1").translate(BYTES)
+                    else:
+                        odd.append(w)
+                        continue
+                elif not (core.isalpha() or not core.isascii() and _letters(core.lower().decode())):
+                    odd.append(w)
+                    continue
+                if len(core) < len(w):
+                    cut.append((w, core, w[len(core) :]))
+        if fresh:
+            ids = np.array(self.plain.encode_batch_fast([" ".join(fresh.values())], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            known.update(zip(fresh, (data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
+        odd += {t for _, _, t in cut if t not in known}
+        if odd:
+            known.update(zip(odd, self._encode(w.decode() for w in odd), strict=True))
+        for w, core, tail in cut:
+            known[w] = known[core] + known[tail]
+
+    def __call__(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        for part in _parts([t or b"" for t in texts]):
+            if not self.by_word:
+                yield from (np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode() for t in part], add_special_tokens=False))
+                continue
             if len(self.known) > self.size:
-                self.known = {}
-            known = self.known
-            if new := list({w for words in part for w in words if w not in known}):
-                found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
-            for words in part:
-                yield np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+                self.known, self.older = {}, self.known
+            # the tokenizer's special tokens are told apart by case
+            split = [(t if b"<|" in t else t.lower()).split() for t in part]
+            get = self.known.get
+            here = {w: get(w) for w in set().union(*split)}
+            if new := [w for w, ids in here.items() if ids is None]:
+                self._learn(new)
+                here.update(zip(new, map(self.known.__getitem__, new), strict=True))
+            for words in split:
+                yield np.frombuffer(b"".join(map(here.__getitem__, words)), "<u4")
+
+
+def _parts(texts: list[bytes], most: int = 2048, size: int = 1 << 24) -> Iterator[list[bytes]]:
+    """Texts by so many at a time, or so many bytes."""
+    ends = np.cumsum([len(t) for t in texts])
+    first = 0
+    while first < len(texts):
+        last = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size, "right"))
+        last = min(max(last, first + 1), first + most)
+        yield texts[first:last]
+        first = last
+
+
+def _letters(word: str) -> str:
+    """A word in the tokenizer's own form, if that is letters alone; else nothing."""
+    form = unicodedata.normalize("NFC", word).lower()
+    return form if form.isalpha() and "\u03c2" not in form and "\u03a3" not in word else ""
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that byte-level BPE has for each byte: itself where it prints, else one above 255, in order."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTES = _byte_characters()
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -75,8 +164,6 @@ _encoders: dict[str, WordEncoder] = {}
 
 def encoder(path: str) -> WordEncoder:
     """One for each worker process and path."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
@@ -161,7 +248,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         task = TaskContext.get().partitionId()
         packer, encode = Packer(task << 32), encoder(tokenizer)
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).cast(pa.binary()).to_pylist()), strict=True):
                 ids = np.append(ids, np.array([END], "<u4"))
                 packer.add(doc, 0, len(ids), ids)
             if packer.out[0]:
