@@ -220,7 +220,8 @@ def top_inner_products(rows: DataFrame, is_query: Column, k: int = 20, key: str
     blocks = dealt.where("query").select(*columns, spread(F.col("blocks")).alias("at"), F.col("shards").alias("most")).groupBy("dim", "at").applyInArrow(fold, folded)
     shards, blocks = written(shards, "mtree-shards"), written(blocks, "mtree-queries")
     asked = blocks.select("dim", F.col("n").alias("qn"), F.col("row").alias("qrow"), F.col("ids").alias("qids"), F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") - 1)).alias("at"))
-    pairs = shards.join(asked, ["dim", "at"]).select("dim", "at", "n", "ids", "v", "qn", "qrow", "qids", "qv")
+    # both sides are dealt by shard: neither is broadcast, whatever its size
+    pairs = shards.hint("merge").join(asked, ["dim", "at"]).select("dim", "at", "n", "ids", "v", "qn", "qrow", "qids", "qv")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tree = None, None
