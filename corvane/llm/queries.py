@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import licences, lm, media, mixing, mtree, packing, quality, secrets, simhash
+from corvane.llm import licences, lm, media, mixing, mtree, packing, quality, repeats, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         mixing.op1_cube_mixing,
+        repeats.op2_column_bwt_repeats,
         quality.op3_importance_resampling,
         simhash.op4_simhash_golay,
         packing.op5_bounded_packing,
