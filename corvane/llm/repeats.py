@@ -137,17 +137,29 @@ class Columns:
     def __init__(self, group: np.ndarray, table: np.ndarray, lo: np.ndarray, hi: np.ndarray, folder: str):
         """group: ascending; table: a row for each column; lo, hi: the columns each document covers."""
         self.group, self.table, self.lo, self.hi = group, table, lo, hi
-        self.files = [os.path.join(folder, name) for name in ("even", "odd")]
-        n = len(group)
-        with open(self.files[len(table) % 2], "wb") as f:
-            np.arange(n, dtype=np.int32).tofile(f)
-            np.full(n, len(table), np.int32).tofile(f)
+        self.files = [os.open(os.path.join(folder, name), os.O_RDWR | os.O_CREAT) for name in ("even", "odd")]
+        self._put(len(table), np.arange(len(group), dtype=np.int32), np.full(len(group), len(table), np.int32))
+
+    def _put(self, c: int, *arrays: np.ndarray) -> None:
+        data = memoryview(np.concatenate(arrays)).cast("B")
+        at = 0
+        while at < len(data):
+            at += os.pwrite(self.files[c % 2], data[at:], at)
+
+    def _get(self, c: int) -> np.ndarray:
+        parts, at, size = [], 0, 8 * len(self.group)
+        while at < size:
+            parts.append(os.pread(self.files[c % 2], size - at, at))
+            at += len(parts[-1])
+        return np.frombuffer(b"".join(parts), np.int32).reshape(2, -1)
+
+    def close(self) -> None:
+        for f in self.files:
+            os.close(f)
 
     def round(self, c: int) -> tuple[np.ndarray, np.ndarray]:
         """Insert column c: (documents in the order of their suffixes from c; column at which each first differs from the one before)."""
-        with open(self.files[(c + 1) % 2], "rb") as f:
-            order = np.fromfile(f, np.int32, len(self.group))
-            differs = np.fromfile(f, np.int32, len(self.group))
+        order, differs = self._get(c + 1)
         symbol = self.table[c][order].astype(np.int64)
         symbol[(c < self.lo[order]) | (c >= self.hi[order])] = 256  # not covered: last of its group, and equal to none
         key = self.group[order] << 9 | symbol
@@ -164,9 +176,7 @@ class Columns:
             padded = np.append(differs, np.int32(0))
             new[far] = np.minimum.reduceat(padded, ranges)[::2]
         order = order[at]
-        with open(self.files[c % 2], "wb") as f:
-            order.tofile(f)
-            new.tofile(f)
+        self._put(c, order, new)
         return order, new
 
 
@@ -191,6 +201,7 @@ def repeated(group: np.ndarray, texts: list[bytes], before: np.ndarray, strings:
                 far = differs - c >= length
                 far[:-1] |= far[1:]
                 marks[c + 1][order] = far & (lo[order] <= c) & (c < lo[order] + strings[order])
+        bwt.close()
     edges = np.diff(marks.astype(np.int8), axis=0).T
     stretch, first = np.nonzero(edges == 1)
     _, last = np.nonzero(edges == -1)
