@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -12,6 +13,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: What operators keep in a Python worker from task to task.
+held: dict = {}
+
+
+def release() -> None:
+    """Free what other operators' tasks have left in this Python worker, and give freed memory back to the system."""
+    held.clear()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import documents, written
+from corvane.llm.common import documents, release, written
 from corvane.llm.eliasfano import Trie
 
 BLOCK = 2_000_000
@@ -292,6 +292,7 @@ def score(docs: DataFrame, folds: int = 10, block: int = BLOCK, key: str = "doc_
     shards = min(MOST_SHARDS, max(4, docs.rdd.getNumPartitions()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         number, reader = TaskContext.get().partitionId() << 24, Reader(folds)
         for b in batches:
             for doc_id, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

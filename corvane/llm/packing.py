@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import documents, written
+from corvane.llm.common import documents, held, release, written
 
 CAPACITY = 4096
 OPEN = 32
@@ -159,15 +159,13 @@ def _byte_characters() -> dict[int, str]:
 BYTES = _byte_characters()
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    """One for each worker process and path."""
+def encoder(path: str, cache: int = CACHE) -> WordEncoder:
+    """One for each worker process, path and size."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if ("packing", path, cache) not in held:
+        release()
+        held["packing", path, cache] = WordEncoder(path, cache)
+    return held["packing", path, cache]
 
 
 class Packer:
@@ -241,13 +239,13 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", cache: int = CACHE) -> DataFrame:
     """PIECES of all documents. sequence_id is level, task and number, so unique without a shuffle."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        packer, encode = Packer(task << 32), encoder(tokenizer)
-        for b in batches:
+        packer, encode = Packer(task << 32), encoder(tokenizer, cache)
+        for b in (whole.slice(k, 2048) for whole in batches for k in range(0, whole.num_rows, 2048)):
             for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).cast(pa.binary()).to_pylist()), strict=True):
                 ids = np.append(ids, np.array([END], "<u4"))
                 packer.add(doc, 0, len(ids), ids)

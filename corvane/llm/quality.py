@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import documents, written
+from corvane.llm.common import documents, release, written
 
 BITS = 14
 SAMPLE = 20_000
 TEMPERATURE = 0.25
 WORDS = 200_000
-PASS = 1 << 18
+PASS = 256
 
 _UPPER, _LOWER, _DIGIT, _SAME = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+"), re.compile(rb"(.)\1+", re.S)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -81,13 +81,15 @@ def models(docs: DataFrame, sample: DataFrame, key: str = "doc_id", text: str =
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         grams, raw, target = Grams(bits), np.zeros(size, np.int64), np.zeros(size, np.int64)
         for b in batches:
-            for body, good in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = np.bincount(grams(body), minlength=size)
-                raw += found
-                if good:
-                    target += found
+            for k in range(0, b.num_rows, PASS):
+                part = b.slice(k, PASS)
+                found = [grams(body) for body in part.column(0).to_pylist()]
+                raw += np.bincount(np.concatenate(found), minlength=size)
+                if good := [x for x, g in zip(found, part.column(1).to_pylist(), strict=True) if g]:
+                    target += np.bincount(np.concatenate(good), minlength=size)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(raw[at]), pa.array(target[at])], ["gram", "raw", "target"])
 
@@ -156,6 +158,7 @@ class Classifier:
         at = docs.columns.index(text)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             weigh = weights(ratio)
             for b in batches:
                 for k in range(0, b.num_rows, PASS):

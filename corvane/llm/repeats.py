@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import documents, written
+from corvane.llm.common import documents, release, written
 
 LENGTH = 400
 KMER = 128
@@ -213,6 +213,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = KMER, crowd:
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             for part in _pieces(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), length):
                 rows, at = np.array([p[0] for p in part]), np.array([p[1] for p in part])
@@ -222,11 +223,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = KMER, crowd:
                 yield pa.RecordBatch.from_arrays([pa.array(rows[text]), signed(h), *places, signed(g1), signed(g2)], [c.split()[0] for c in RUNS.split(", ")])
 
     runs = written(base.select("row", "text").mapInArrow(scan, RUNS), "repeats-runs")
-    common = runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, so that both sides of the joins below are plain shuffles, whose hot keys adaptive execution splits
+    common = written(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeats-common")
     shared = written(runs.join(common, "h"), "repeats-shared")
     whole = written(shared.groupBy("h", "g1", "g2").agg(F.count("*").alias("copies"), F.min(F.struct("row", "a", "s0", "s1")).alias("one")), "repeats-stretches")
-    kinds = whole.groupBy("h").agg(F.count("*").alias("kinds"))
-    compare = whole.join(kinds.where("kinds > 1"), "h").select("h", "copies", "kinds", "one.*")
+    kinds = written(whole.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "repeats-kinds")
+    compare = whole.join(kinds, "h").select("h", "copies", "kinds", "one.*")
     copied = shared.join(whole.where("copies > 1").select("h", "g1", "g2"), ["h", "g1", "g2"]).select("row", F.col("s0").alias("at"), (F.col("s1") + length).alias("to"))
     some = shared.select("row").distinct()
     texts = written(base.join(some, "row").select("row", "text"), "repeats-texts")

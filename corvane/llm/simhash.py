@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import components, documents, written
+from corvane.llm.common import components, documents, release, written
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Generator polynomial of the binary Golay code (23, 12). Fixed value.
@@ -115,6 +115,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, key: str = "do
     """(doc_id, fp): the fingerprint of every whole text, as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             found = np.array([fingerprint(x, words, seed) for x in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
