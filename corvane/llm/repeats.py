@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import documents, release, written
+from corvane.llm.common import documents, release, stable, written
 
 LENGTH = 400
 KMER = 128
@@ -210,7 +210,7 @@ def repeated(group: np.ndarray, texts: list[bytes], before: np.ndarray, strings:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = KMER, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Written (row, doc_id, n_bytes, sha256) of all documents; (row, text) of those that share a k-mer; (row, at, to) ranges of repeated bytes."""
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    base = stable(docs.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
