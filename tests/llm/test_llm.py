@@ -138,6 +138,37 @@ def test_near_duplicates_of_the_pipeline(spark):
     assert {r.row for r in neardup.duplicates(df).collect()} == {1, 3, 5}
 
 
+def brute_force_groups(texts):
+    """Rows that are not the first of their component of pairs at 0.8 or more."""
+    sets = [neardup.shingles(t.encode()).tobytes() for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if neardup.jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i for i in range(len(texts)) if find(i) != i}
+
+
+def test_near_duplicates_between_08_and_09(spark):
+    rnd, texts = random.Random(3), []
+    for i in range(40):
+        base = [f"w{rnd.randrange(10**9)}" for _ in range(300)]
+        new = [f"v{rnd.randrange(10**9)}" for _ in range(32 + i % 8 * 6)]  # J from 0.9 to 0.79
+        scattered = list(base)
+        for k in rnd.sample(range(300), 3 + i % 4):
+            scattered[k] = f"u{rnd.randrange(10**9)}"
+        texts += [" ".join(x) for x in (base, base + new, base[len(new) :], scattered)[: 4 if i % 2 else 2]]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    assert {r.row for r in neardup.duplicates(df).collect()} == brute_force_groups(texts)
+
+
 def test_packing_round_trip(docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
