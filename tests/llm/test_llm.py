@@ -169,6 +169,23 @@ def test_near_duplicates_between_08_and_09(spark):
     assert {r.row for r in neardup.duplicates(df).collect()} == brute_force_groups(texts)
 
 
+def test_near_duplicates_within_a_form(spark):
+    rnd, n = random.Random(4), 3000
+    places, texts = rnd.sample(range(400), 11), []
+    for i in range(n):
+        words = [f"f{k}" for k in range(400)]
+        for k in places:
+            words[k] = f"own{i}x{k}"
+        texts.append(words)
+    for i in range(0, n, 6):  # a copy that differs in one word
+        texts.append([*texts[i][:200], f"copy{i}", *texts[i][201:]])
+    texts = [" ".join(t) for t in texts]
+    sets = [neardup.shingles(t.encode()).tobytes() for t in texts]
+    assert neardup.jaccard(sets[0], sets[n]) >= 0.8 > max(neardup.jaccard(x, y) for x in (sets[0], sets[n]) for y in sets[1:n])
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    assert {r.row for r in neardup.duplicates(df).collect()} == set(range(n, len(texts)))
+
+
 def test_packing_round_trip(docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
