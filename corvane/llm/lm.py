@@ -9,10 +9,10 @@ table of the corpus is held in one place. A shard of the bigrams writes its trie
 to a file of its own, maps it, answers the blocks and deletes it.
 
 Model: p(w | v) = (c(v w) + m p(w)) / (c(v) + m), with p(w) the contract's base
-probability. The trie holds c(v w) / (c(v) + m), quantised to 8 bits; m depends on
-the shard and the magnitude of c(v), and is the best of a grid by leave-one-out
-likelihood of the training pairs. Contexts so frequent that their pairs
-are dealt over all shards use m = c(v). An unseen context leaves p(w).
+probability. The trie holds c(v w) / c(v), quantised to 8 bits; the block scales
+it by c(v) / (c(v) + m). m depends on the magnitude of c(v) alone, and is the best
+of a grid by leave-one-out likelihood of all training pairs, from sums that every
+shard makes over its own. An unseen context leaves p(w).
 
 Words are told apart by 64-bit XXH64.
 
@@ -46,7 +46,7 @@ MOST_SHARDS = 16_384
 ROWS = "kind int, block long, shard long, data binary"
 ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int64()), ("data", pa.binary())])
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-DOCS, WORDS, COUNTS, PAIRS, CODES = range(5)
+DOCS, WORDS, COUNTS, PAIRS, CODES, FIT = range(6)
 GRID = 10.0 ** np.arange(-1, 7.5, 0.5)
 
 
@@ -210,19 +210,16 @@ class Block:
             out.append((PAIRS, self.block, s, pack(small(np.diff(self.numbers[c], prepend=0)), small(self.counts[c]), small(size), small(self.numbers[w]), small(counts[a:b]), logs[w])))
         return out
 
-    def scores(self, rows: list[tuple]) -> pa.RecordBatch:
-        found, weight = np.zeros(len(self.first)), np.zeros(len(self.counts))
-        bucket = np.frexp(np.maximum(self.counts, 1))[1]
+    def scores(self, rows: list[tuple], m: np.ndarray) -> pa.RecordBatch:
+        found = np.zeros(len(self.first))
         for r in rows:
             if r[0] == CODES:
-                codes, book, m = unpack(r[3])
+                codes, book = unpack(r[3])
                 a, b = self.bounds[r[2] : r[2] + 2]
                 found[self.order[a:b]] = book[codes]
-                own = self.contexts[r[2]]
-                weight[own] = m[bucket[own]]
-        hot = self.counts > self.totals.hot
-        weight[hot] = self.counts[hot]
-        back = np.where(self.counts > 0, weight / (self.counts + np.maximum(weight, 1e-300)), 1.0)
+        weight = m[np.frexp(np.maximum(self.counts, 1))[1]]
+        back = np.where(self.counts > 0, weight / (self.counts + weight), 1.0)
+        found *= 1 - back[self.context]
         p = back[self.before] * self.base[self.tokens]
         seen = np.empty(len(self.group))
         seen[self.sorting] = found[self.group]
@@ -236,51 +233,60 @@ class Block:
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCORES.split(", ")])
 
 
-def best_weights(counts: np.ndarray, contexts: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """m for each magnitude of a context's count: the best of GRID by leave-one-out likelihood."""
+def fit_sums(counts: np.ndarray, contexts: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """For each m of GRID and each magnitude of a context's count: the leave-one-out likelihood; then the number of pairs of each magnitude."""
     bucket = np.maximum(np.frexp(np.maximum(contexts, 1))[1], 2)
-    likelihood = np.empty((len(GRID), 65))
+    out = np.empty((len(GRID) + 1, 65))
     for k, m in enumerate(GRID):
         gain = counts * np.log((counts - 1 + m * base) / (contexts - 1 + m))
-        likelihood[k] = np.bincount(bucket, gain, minlength=65)
-    m = GRID[np.argmax(likelihood, 0)]
-    m[np.bincount(bucket, minlength=65) == 0] = 1000.0
+        out[k] = np.bincount(bucket, gain, minlength=65)
+    out[-1] = np.bincount(bucket, minlength=65)
+    return out
+
+
+def best_weights(sums: np.ndarray) -> np.ndarray:
+    """m for each magnitude of a context's count: the best of GRID by fit_sums over all pairs."""
+    m = GRID[np.argmax(sums[:-1], 0)]
+    m[sums[-1] == 0] = 1000.0
     m[:2] = m[2]
     return m
 
 
-def answer_pairs(hot: int):
-    """For a shard of the bigrams: the model from all blocks' counts, as a trie, and the codes each block asked for."""
-
-    def each(table: pa.Table) -> pa.Table:
-        asked, parts = _rows(table), []
-        for r in asked:
-            contexts, count, size, word, n, log = unpack(r[3])
-            size = size.astype(np.int64)
-            parts.append((np.repeat(np.cumsum(contexts.astype(np.int64)), size), word, n, np.repeat(count, size), log))
-        sizes = np.cumsum([len(p[1]) for p in parts])
-        c, w, n, of, log = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        parts.clear()
-        w = w.astype(np.int64)
-        wide = len(w) and max(int(w.max()), int(c.max())) >= 1 << 31
-        order = np.lexsort((w, c)) if wide else np.argsort(c << 31 | w)
-        c, w = c[order], w[order]
-        new = (np.diff(c, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0)
-        first, group = np.flatnonzero(new), np.cumsum(new) - 1
-        c, w, of, log = c[first], w[first], of[order[first]].astype(np.int64), log[order[first]]
-        counts = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else first
-        kept = counts > 0
-        base = 10.0 ** (log[kept].astype(np.float64) / -25)
-        m = best_weights(counts[kept], of[kept], base)
-        weight = np.where(of > hot, of, m[np.frexp(np.maximum(of, 1))[1]])[kept]
-        with tempfile.TemporaryDirectory() as folder:
-            Trie.write(path := os.path.join(folder, "trie"), c[kept], w[kept], counts[kept] / (of[kept] + weight))
-            trie = Trie(path)
-            book, codes = np.array(trie.book), np.empty(len(order), np.uint8)
-            codes[order] = trie.lookup(c, w)[group]
-        return pa.Table.from_batches([_batch([(CODES, r[1], r[2], pack(x, book, m)) for r, x in zip(asked, np.split(codes, sizes[:-1]), strict=True)])])
-
-    return each
+def answer_pairs(table: pa.Table) -> pa.Table:
+    """For a shard of the bigrams: the ratios from all blocks' counts, as a trie, the codes each block asked for, and the shard's part of the fit."""
+    asked, parts = _rows(table), []
+    for r in asked:
+        contexts, count, size, word, n, log = unpack(r[3])
+        size = size.astype(np.int64)
+        parts.append((np.repeat(np.cumsum(contexts.astype(np.int64)), size), word, n, np.repeat(count, size), log))
+    sizes = np.cumsum([len(p[1]) for p in parts])
+    c, w, n, of, log = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    parts.clear()
+    w = w.astype(np.int64)
+    wide = len(w) and max(int(w.max()), int(c.max())) >= 1 << 31
+    order = np.lexsort((w, c)) if wide else np.argsort(c << 31 | w)
+    c, w = c[order], w[order]
+    new = (np.diff(c, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0)
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    c, w, of, log = c[first], w[first], of[order[first]].astype(np.int64), log[order[first]]
+    counts = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else first
+    kept = counts > 0
+    base = 10.0 ** (log[kept].astype(np.float64) / -25)
+    sums = fit_sums(counts[kept], of[kept], base)
+    with tempfile.TemporaryDirectory() as folder:
+        Trie.write(path := os.path.join(folder, "trie"), c[kept], w[kept], counts[kept] / of[kept])
+        trie = Trie(path)
+        book, codes = np.array(trie.book), np.empty(len(order), np.uint8)
+        codes[order] = trie.lookup(c, w)[group]
+    out = [(CODES, r[1], r[2], pack(x, book)) for r, x in zip(asked, np.split(codes, sizes[:-1]), strict=True)]
+    return pa.Table.from_batches([_batch([*out, (FIT, -1, asked[0][2], sums.tobytes())])])
+
+
+def add_fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for a partition: the sum of its shards' parts."""
+    parts = [np.frombuffer(x) for b in batches for x in b.column(0).to_pylist()]
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array([np.sum(parts, 0).tobytes()], pa.binary())], ["data"])
 
 
 def score(docs: DataFrame, folds: int = 10, block: int = BLOCK, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -315,11 +321,15 @@ def score(docs: DataFrame, folds: int = 10, block: int = BLOCK, key: str = "doc_
 
     def close(table: pa.Table) -> pa.Table:
         rows = _rows(table)
-        return pa.Table.from_batches([Block(rows, totals).scores(rows)])
+        return pa.Table.from_batches([Block(rows, totals).scores(rows, m)])
 
     pairs = known.groupBy("block").applyInArrow(ask, ROWS)
-    codes = written(pairs.groupBy("shard").applyInArrow(answer_pairs(totals.hot), ROWS), "lm-codes")
-    return known.union(codes).groupBy("block").applyInArrow(close, SCORES)
+    codes = written(pairs.groupBy("shard").applyInArrow(answer_pairs, ROWS), "lm-codes")
+    sums = np.zeros((len(GRID) + 1) * 65)
+    for row in codes.where(F.col("kind") == FIT).select("data").mapInArrow(add_fits, "data binary").toLocalIterator():
+        sums += np.frombuffer(row["data"])
+    m = best_weights(sums.reshape(-1, 65))
+    return known.union(codes.where(F.col("kind") == CODES)).groupBy("block").applyInArrow(close, SCORES)
 
 
 def op7_eliasfano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,6 +259,19 @@ def test_lm_counts_and_scores(docs, rows, block):
     assert all(r.score <= 0 for r in found) and sum(r.score for r in found) > sum(r.base_score for r in found)
 
 
+def test_lm_scores_do_not_depend_on_the_partitions(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    # "hot" is a context of far over 65,536 tokens, always before the same word
+    texts = ["hot cold " * 3000 + " ".join(rnd.choices(words, k=60)) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few, many = ({r.doc_id: r.score for r in lm.score(df.repartition(n)).collect()} for n in (4, 13))
+    assert few.keys() == many.keys()
+    assert all(few[i] == pytest.approx(many[i], rel=1e-3) for i in few)
+    # nearly all is certain: half the mass on the base probability would cost 0.15 or more for each of 3000 pairs
+    assert min(few.values()) > -400
+
+
 def test_licences(docs):
     found = {r.doc_id: r for r in licences.scan_licences(docs).collect()}
     assert found[len(texts()) - 1].licence_id == "MIT notice"
