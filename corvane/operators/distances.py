@@ -76,15 +76,81 @@ def lcss(a: np.ndarray, b: np.ndarray, epsilon: float = 0.01) -> float:
     return 1 - row[-1] / max(1, min(len(a), len(b)))
 
 
-def pairwise(pairs: DataFrame, distance: Callable[[np.ndarray, np.ndarray], float], name: str = "distance") -> DataFrame:
-    """(a_id, b_id, name) for rows (a_id, b_id, a, b) of two series, in Arrow batches."""
+def dtw_many(a: np.ndarray, b: np.ndarray, window: float = 1.0) -> np.ndarray:
+    """dtw of each row of a with the same row of b."""
+    n, m = a.shape[1], b.shape[1]
+    if not n or not m:
+        return np.full(len(a), 0.0 if n == m else np.inf)
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    row = np.full(b.shape, np.inf)
+    for i in range(n):
+        middle = i * (m - 1) / (n - 1) if n > 1 else 0.0
+        lo, hi = max(0, int(np.ceil(middle - window * m))), min(m - 1, int(np.floor(middle + window * m)))
+        new, cost = np.full(b.shape, np.inf), (a[i] - b) ** 2
+        for j in range(lo, hi + 1):
+            if j:
+                best = np.minimum(np.minimum(row[j], row[j - 1]), new[j - 1])
+            else:
+                best = row[0] if i else 0.0
+            new[j] = best + cost[j]
+        row = new
+    return row[-1]
+
+
+def erp_many(a: np.ndarray, b: np.ndarray, gap: float = 0.01) -> np.ndarray:
+    """erp of each row of a with the same row of b."""
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    skip = (b - gap) ** 2
+    row = np.concatenate((np.zeros((1, b.shape[1])), np.cumsum(skip, axis=0)))
+    for x in a:
+        new, cost, drop = np.empty_like(row), (x - b) ** 2, (x - gap) ** 2
+        new[0] = row[0] + drop
+        for j in range(1, len(row)):
+            new[j] = np.minimum(np.minimum(row[j - 1] + cost[j - 1], row[j] + drop), new[j - 1] + skip[j - 1])
+        row = new
+    return row[-1]
+
+
+def lcss_many(a: np.ndarray, b: np.ndarray, epsilon: float = 0.01) -> np.ndarray:
+    """lcss of each row of a with the same row of b."""
+    n, m = a.shape[1], b.shape[1]
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    row = np.zeros((m + 1, b.shape[1]), int)
+    for x in a:
+        new, same = row.copy(), np.abs(x - b) <= epsilon
+        for j in range(1, m + 1):
+            new[j] = np.where(same[j - 1], row[j - 1] + 1, np.maximum(row[j], new[j - 1]))
+        row = new
+    return 1 - row[-1] / max(1, min(n, m))
+
+
+def folded(df: DataFrame, name: str, block: int = 256, parts: int = 64) -> DataFrame:
+    """Rows (id, s) as blocks: one array column of that name, of block rows at most."""
+    dealt = df.select("id", "s", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
+    number = F.row_number().over(Window.partitionBy("part").orderBy("id"))
+    dealt = dealt.withColumn("block", F.ceil(number / block))
+    return dealt.groupBy("part", "block").agg(F.collect_list(F.struct("id", "s")).alias(name)).select(name)
+
+
+def between(queries: DataFrame, rows: DataFrame, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 256, most: int = 4096) -> DataFrame:
+    """(a_id, b_id, distance) from each of queries (id, s) to each of rows (id, s) with another id, block by block; distance is one of the ``_many``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [distance(np.array(x), np.array(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.float64())], ["a_id", "b_id", name])
+            for q, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                by: dict[tuple[int, int], list] = {}
+                for x in q:
+                    for y in c:
+                        if x["id"] != y["id"]:
+                            by.setdefault((len(x["s"]), len(y["s"])), []).append((x, y))
+                for pairs in by.values():
+                    for k in range(0, len(pairs), most):
+                        x, y = zip(*pairs[k : k + most], strict=True)
+                        found = distance(np.array([p["s"] for p in x], float), np.array([p["s"] for p in y], float))
+                        yield pa.RecordBatch.from_arrays([pa.array([p["id"] for p in x], pa.int64()), pa.array([p["id"] for p in y], pa.int64()), pa.array(found, pa.float64())], ["a_id", "b_id", "distance"])
 
-    return pairs.select("a_id", "b_id", "a", "b").mapInArrow(each, f"a_id long, b_id long, {name} double")
+    pairs = folded(queries, "q", block, 16).crossJoin(folded(rows, "c", block))
+    return pairs.mapInArrow(each, "a_id long, b_id long, distance double")
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int = 1, block: int = 256) -> DataFrame:
@@ -94,12 +160,6 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 1, block: int = 256) -
     matrix product that keeps k rows a query; blocks, not rows, are paired.
     """
 
-    def folded(df: DataFrame, prefix: str) -> DataFrame:
-        dealt = df.select("id", "s", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"))
-        number = F.row_number().over(Window.partitionBy("part").orderBy("id"))
-        dealt = dealt.withColumn("block", F.ceil(number / block))
-        return dealt.groupBy("part", "block").agg(F.collect_list(F.struct("id", "s")).alias(prefix))
-
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for q, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -112,7 +172,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 1, block: int = 256) -
                 row = np.broadcast_to(np.arange(len(qi))[:, None], best.shape)[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(ci[best[keep]]), pa.array(d[row, best[keep]])], ["q", "c", "distance"])
 
-    pairs = folded(queries, "q").select("q").crossJoin(folded(rows, "c").select("c"))
+    pairs = folded(queries, "q", block).crossJoin(folded(rows, "c", block))
     hits = pairs.select("q", "c").mapInArrow(each, "q long, c long, distance double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "c"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)

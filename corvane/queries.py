@@ -153,17 +153,18 @@ def knn_vote(spark, sf_dir):
 
 
 def _elastic(name: str, distance) -> None:
+    """Distances from the series whose ids 100 divides to all others, on whole series."""
+
     def run(spark, sf_dir):
-        rows = instances(spark, sf_dir).where("series_id < 20").select("series_id", S.paa(F.col("s"), 16).alias("s"))
-        a, b = (rows.select(F.col("series_id").alias(f"{x}_id"), F.col("s").alias(x)) for x in "ab")
-        return D.pairwise(a.join(F.broadcast(b), F.col("a_id") < F.col("b_id")), distance)
+        rows = instances(spark, sf_dir).select(F.col("series_id").alias("id"), "s")
+        return D.between(rows.where("id % 100 = 0"), rows, distance)
 
     QUERIES[name] = run
 
 
-_elastic("dtw", D.dtw)
-_elastic("erp", D.erp)
-_elastic("lcss", D.lcss)
+_elastic("dtw", D.dtw_many)
+_elastic("erp", D.erp_many)
+_elastic("lcss", D.lcss_many)
 
 for name, (run, sql) in {**T.queries(read), **E.queries(read)}.items():
     QUERIES[name], SQL[name] = run, sql

@@ -36,6 +36,18 @@ def test_elastic_distances():
     assert D.lcss(a, a) == 0 and D.erp(a, a) == 0
 
 
+@pytest.mark.parametrize("name", ["dtw", "erp", "lcss"])
+def test_elastic_queries_take_all_rows(spark, tmp_path, name):
+    from corvane import queries
+
+    rnd = np.random.default_rng(1)
+    rows = [(int(i), [float(np.float32(x)) for x in rnd.integers(0, 4, 9 if i == 7 else 12)], 0) for i in [0, 5, 7, 19, 25, 100, 150, 200]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {(r.a_id, r.b_id): r.distance for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    want = {(a, b): getattr(D, name)(np.array(x), np.array(y)) for a, x, _ in rows for b, y, _ in rows if a % 100 == 0 and a != b}
+    assert found == pytest.approx(want) and len(set(want.values())) > 3
+
+
 def test_nearest_ignores_itself(spark):
     rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, [9.0, 9.0])], "id long, s array<double>")
     assert {(r.q, r.c) for r in D.nearest(rows, rows).collect()} == {(1, 2), (2, 1), (3, 2)}
