@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,12 @@ from pyspark.sql import functions as F
 #: Java / RE2 / Python alike: the words of every contract that counts words.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Settings while operators write: batches that a worker holds several of whatever the length
+#: of the texts, and shuffle files that go as soon as what they led to is written.
+WRITING = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 #: What operators keep in a Python worker from task to task.
 held: dict = {}
@@ -41,6 +49,19 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with these settings, and then with its own again."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
@@ -49,8 +70,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corvane-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, WRITING):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.corvane_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more: those whose readers' results are written themselves."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.corvane_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -83,10 +115,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         m = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(m, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(m.select("a", F.col("m").alias("b"))).distinct()
-        e = written(small, name)
+        before, e = e, written(small, name)
+        discard(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-                e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
-            )
+            nodes = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = written(nodes.union(e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))), name)
+            discard(e)
+            return out
         seen = now

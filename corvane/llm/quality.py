@@ -6,11 +6,12 @@ is its importance weight (Xie et al. 2023). Its n-grams are words and pairs of
 words, and likewise their shapes (runs of small letters, capitals and digits
 collapsed); a pair of the same word twice is one n-gram whatever the word.
 
-A logistic fit on the labelled sample turns the weight, divided by the square
-root of the number of n-grams, into log odds. The number to keep, k, is the sum
-of the odds' probabilities over all documents, and the k of them with the
-highest perturbed log odds stay: Gumbel top-k, which samples in proportion to the
-odds (raised to 1 / temperature) without replacement.
+Gumbel top-k: every document's log weight gets Gumbel noise from a hash of its
+row, and the k documents of the highest sums stay, which samples k in proportion
+to the weights, without replacement. k is the number of good documents that a
+logistic fit on the labelled sample expects in all (its variable is the log
+weight, divided by the square root of the number of n-grams); the fit has no
+other part in what stays.
 
 Labels: the target model and the logistic fit use at most ``SAMPLE`` labelled
 documents, those of least id hash. All other counts are over all documents.
@@ -32,12 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corvane.llm.common import documents, release, written
+from corvane.llm.common import discard, documents, release, written
 
 BITS = 14
 SAMPLE = 20_000
-TEMPERATURE = 0.25
 WORDS = 200_000
 PASS = 256
 
@@ -50,19 +51,23 @@ def shape(word: bytes) -> bytes:
 
 
 class Grams:
-    """Hashed n-grams of texts; keeps the hashes of up to WORDS words."""
+    """Hashed n-grams of texts; keeps the hashes of WORDS words and those of one more text."""
 
     def __init__(self, bits: int = BITS):
-        self.known, self.shift = {}, np.uint64(64 - bits)
+        self.known, self.codes, self.shift = {}, np.zeros((0, 2), np.uint64), np.uint64(64 - bits)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().split()
         if len(self.known) > WORDS:
-            self.known = {}
+            self.known, self.codes = {}, np.zeros((0, 2), np.uint64)
         known = self.known
-        for w in {w for w in words if w not in known}:
-            known[w] = (zlib.crc32(w), zlib.crc32(shape(w), 7))
-        both = np.array([known[w] for w in words], np.uint64).reshape(-1, 2)
+        if new := list(set(words).difference(known)):
+            first = len(known)
+            known.update(zip(new, range(first, first + len(new)), strict=True))
+            if len(known) > len(self.codes):
+                self.codes = np.concatenate((self.codes[:first], np.zeros((len(known) + 4096, 2), np.uint64)))
+            self.codes[first : len(known)] = [(zlib.crc32(w), zlib.crc32(shape(w), 7)) for w in new]
+        both = self.codes[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
         word, form = both[:, 0], both[:, 1]
         pairs = word[:-1] * _A + word[1:] * _B + np.uint64(1)
         pairs[word[:-1] == word[1:]] = 3
@@ -145,66 +150,45 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024) -> float |
     return lo
 
 
-class Classifier:
-    """The fitted models with the threshold of the top k."""
+def scores(docs: DataFrame, ratio: np.ndarray, seed: int, key: str, text: str, whole: bool) -> DataFrame:
+    """(id, grams, weight, x, noise) of each document, all from the row itself; with row, a struct of its columns, if whole."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), key, text), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    given = docs.select(F.col(text).alias("text"), F.col(key).alias("id"), (-F.log(-F.log(u))).alias("noise"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * whole)
+    found = ("grams", T.LongType()), ("weight", T.DoubleType()), ("x", T.DoubleType())
+    fields = [*given.schema.fields[1:], *(T.StructField(n, t) for n, t in found)]
 
-    def __init__(self, ratio: np.ndarray, slope: float, intercept: float, seed: int, temperature: float):
-        self.ratio, self.slope, self.intercept, self.seed, self.temperature, self.least = ratio, slope, intercept, seed, temperature, -np.inf
-
-    def columns(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """docs with __grams, __weight, __odds and __key: the perturbed log odds; all from the row itself."""
-        ratio, slope, intercept = self.ratio, self.slope, self.intercept
-        names = [*docs.columns, "__noise"]
-        at = docs.columns.index(text)
-
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            release()
-            weigh = weights(ratio)
-            for b in batches:
-                for k in range(0, b.num_rows, PASS):
-                    part = b.slice(k, PASS)
-                    found = weigh(part.column(at).to_pylist())
-                    odds = intercept + slope * found[:, 1] / np.sqrt(found[:, 0] + 1)
-                    more = [pa.array(found[:, 0].astype(np.int64)), pa.array(found[:, 1]), pa.array(odds)]
-                    yield pa.RecordBatch.from_arrays([*part.columns, *more], [*names, "__grams", "__weight", "__odds"])
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        weigh = weights(ratio)
+        for b in batches:
+            for k in range(0, b.num_rows, PASS):
+                part = b.slice(k, PASS)
+                n, w = weigh(part.column(0).to_pylist()).T
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(n.astype(np.int64)), pa.array(w), pa.array(w / np.sqrt(n + 1))], [f.name for f in fields])
 
-        u = (F.pmod(F.xxhash64(F.lit(self.seed), key, text), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
-        noisy = docs.withColumn("__noise", -F.log(-F.log(u)))
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in noisy.schema)
-        scored = noisy.mapInArrow(each, f"{fields}, __grams long, __weight double, __odds double")
-        return scored.withColumn("__key", F.col("__odds") / self.temperature + F.col("__noise")).drop("__noise")
+    return given.mapInArrow(each, T.StructType(fields))
 
 
-def train(docs: DataFrame, labels: DataFrame, seed: int = 42, temperature: float = TEMPERATURE, bound: int = SAMPLE, key: str = "doc_id", text: str = "text") -> tuple[Classifier, DataFrame]:
-    """The classifier, and the written scores (doc_id, grams, weight, odds, perturbed) of all documents."""
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 42, bound: int = SAMPLE, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """The written scores of all documents with odds (log odds of a good document), perturbed (log weight with its noise) and kept."""
     sample = written(labelled(labels, bound), "quality-sample")
-    ratio = models(docs, sample, key, text)
-    plain = Classifier(ratio, 1.0, 0.0, seed, temperature)
-    renamed = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    scored = written(plain.columns(renamed).select("doc_id", F.col("__grams").alias("grams"), F.col("__weight").alias("weight"), F.col("__odds").alias("x"), (F.col("__key") - F.col("__odds") / temperature).alias("noise")), "quality-scores")
-    pairs = scored.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("x"), F.min("quality")).collect()  # bound rows at most
+    scored = written(scores(docs, models(docs, sample, key, text), seed, key, text, whole), "quality-scores")
+    pairs = scored.join(F.broadcast(sample), F.col("id") == F.col("doc_id")).groupBy("id").agg(F.min("x"), F.min("quality")).collect()  # bound rows at most
+    discard(sample)
     x, y = np.array([p[1] for p in pairs]), np.array([p[2] > 0 for p in pairs], float)
-    if 0 < y.sum() < len(y):
-        plain.slope, plain.intercept = fit(x, y)
-    else:
-        plain.slope, plain.intercept = 0.0, 30.0
-    odds = F.col("x") * plain.slope + plain.intercept
-    told = scored.select("doc_id", "grams", "weight", odds.alias("odds"), (odds / temperature + F.col("noise")).alias("perturbed"))
-    expected = told.agg(F.sum(1 / (1 + F.exp(-F.col("odds"))))).first()[0] or 0.0
-    k = int(round(expected))
+    slope, intercept = fit(x, y) if 0 < y.sum() < len(y) else (0.0, 30.0)
+    told = scored.withColumn("odds", F.col("x") * slope + intercept).withColumn("perturbed", F.col("weight") + F.col("noise"))
+    k = int(round(told.agg(F.sum(1 / (1 + F.exp(-F.col("odds"))))).first()[0] or 0.0))
     least = kth_largest(told, "perturbed", k) if k else np.inf
-    plain.least = -np.inf if least is None else least
-    return plain, told
+    return told.withColumn("kept", F.col("perturbed") >= F.lit(float(-np.inf if least is None else least)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that the classifier keeps, with their columns."""
-    model, _ = train(docs, labels, **options)
-    at = model.least - 1e-6 * max(1.0, abs(model.least)) if np.isfinite(model.least) else model.least
-    return model.columns(docs).where(F.col("__key") >= F.lit(float(at))).select(*[f"`{c}`" for c in docs.columns])
+    return resample(docs, labels, whole=True, **options).where("kept").select("row.*")
 
 
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, grams, log_weight, log_odds, kept) of all documents."""
-    model, told = train(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return told.select("doc_id", "grams", F.col("weight").alias("log_weight"), F.col("odds").alias("log_odds"), (F.col("perturbed") >= F.lit(float(model.least))).alias("kept"))
+    found = resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.select(F.col("id").alias("doc_id"), "grams", F.col("weight").alias("log_weight"), F.col("odds").alias("log_odds"), "kept")
