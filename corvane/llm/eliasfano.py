@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 SAMPLE = 512
+#: Quantised probabilities: steps of 0.04 %.
+OCTAVES, LEVELS = 40, 65_534
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -69,7 +71,7 @@ def save(path: str, arrays: list[np.ndarray]) -> None:
 
 def load(path: str) -> list[np.ndarray]:
     data = np.memmap(path, np.uint8, "r")
-    kinds = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.int64, np.float32)}
+    kinds = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.uint16, np.int64)}
     out, at = [], 0
     while at < len(data):
         kind, n = data[at : at + 16].view(np.int64).tolist()
@@ -79,15 +81,14 @@ def load(path: str) -> list[np.ndarray]:
     return out
 
 
-def quantise(values: np.ndarray, bits: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """(codes from 1, book): equal bins of the logarithms; a bin stands for the mean of its members. Code 0 is free."""
-    top = (1 << bits) - 1
-    logs = np.log10(values)
-    lo, hi = (float(logs.min()), float(logs.max())) if len(logs) else (0.0, 0.0)
-    codes = 1 + np.minimum(((logs - lo) * (top / max(hi - lo, 1e-12))).astype(np.int64), top - 1)
-    n = np.bincount(codes, minlength=top + 1)
-    book = np.bincount(codes, values, minlength=top + 1) / np.maximum(n, 1)
-    return codes.astype(np.uint8), book.astype(np.float32)
+def quantise(values: np.ndarray) -> np.ndarray:
+    """16-bit codes of numbers from 2**-OCTAVES to 1: levels of equal ratio, the same for all data. Code 0 is free."""
+    return (1 + np.rint((OCTAVES + np.log2(np.maximum(values, 2.0**-OCTAVES))) * (LEVELS / OCTAVES))).astype(np.uint16)
+
+
+def level(codes: np.ndarray) -> np.ndarray:
+    """What codes stand for; 0 for code 0."""
+    return np.where(codes > 0, np.exp2((codes.astype(np.float64) - 1) * (OCTAVES / LEVELS) - OCTAVES), 0.0)
 
 
 class Trie:
@@ -106,18 +107,17 @@ class Trie:
         pointers = np.append(new, len(contexts))
         last = words[pointers[1:] - 1] if len(new) else words[:0]
         base = np.concatenate(([0], np.cumsum(last)[:-1])) if len(new) else words[:0]
-        codes, book = quantise(values)
-        levels = [EliasFano.of(contexts[new]), EliasFano.of(pointers), EliasFano.of(words + np.repeat(base, np.diff(pointers)))]
-        save(path, [*(a for level in levels for a in level.parts()), codes, book])
+        parts = [EliasFano.of(contexts[new]), EliasFano.of(pointers), EliasFano.of(words + np.repeat(base, np.diff(pointers)))]
+        save(path, [*(a for part in parts for a in part.parts()), quantise(values)])
 
     def __init__(self, path: str):
         a = load(path)
         self.contexts, self.pointers, self.words = (EliasFano(*map(int, a[k]), *a[k + 1 : k + 4]) for k in (0, 4, 8))
-        self.codes, self.book = a[12], a[13]
+        self.codes = a[12]
 
     def lookup(self, contexts: np.ndarray, words: np.ndarray, step: int = 1 << 16) -> np.ndarray:
         """Codes of pairs sorted by context and word; 0 where a pair is not there. Decodes ``step`` contexts at a time."""
-        out = np.zeros(len(contexts), np.uint8)
+        out = np.zeros(len(contexts), np.uint16)
         for lo in range(0, self.contexts.n, step):
             hi = min(lo + step, self.contexts.n)
             here = self.contexts.decode(lo, hi)

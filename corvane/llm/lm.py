@@ -9,10 +9,12 @@ table of the corpus is held in one place. A shard of the bigrams writes its trie
 to a file of its own, maps it, answers the blocks and deletes it.
 
 Model: p(w | v) = (c(v w) + m p(w)) / (c(v) + m), with p(w) the contract's base
-probability. The trie holds c(v w) / c(v), quantised to 8 bits; the block scales
-it by c(v) / (c(v) + m). m depends on the magnitude of c(v) alone, and is the best
+probability. The trie holds c(v w) / c(v), quantised to 16 bits on fixed levels;
+the block scales it by c(v) / (c(v) + m). m depends on the magnitude of c(v) alone, and is the best
 of a grid by leave-one-out likelihood of all training pairs, from sums that every
-shard makes over its own. An unseen context leaves p(w).
+shard makes over its own. An unseen context leaves p(w). So a score follows from
+the corpus alone: how the texts are split decides where pairs meet, not their
+probabilities.
 
 Words are told apart by 64-bit XXH64.
 
@@ -39,10 +41,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import documents, release, written
-from corvane.llm.eliasfano import Trie
+from corvane.llm.eliasfano import Trie, level
 
 BLOCK = 2_000_000
-MOST_SHARDS = 16_384
 ROWS = "kind int, block long, shard long, data binary"
 ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int64()), ("data", pa.binary())])
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -187,11 +188,14 @@ class Block:
         mixed = (self.numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
         home = mixed % totals.shards
         spread = np.where(self.counts[self.context] > totals.hot, mixed[self.word], 0)
-        shard = ((mixed[self.context] + spread) % totals.shards).astype(np.uint16)
+        shard = (mixed[self.context] + spread) % totals.shards
         self.order = np.argsort(shard, kind="stable")
-        self.bounds = np.searchsorted(shard[self.order], np.arange(totals.shards + 1))
-        by_home = contexts[np.argsort(home[contexts].astype(np.uint16), kind="stable")]
-        self.contexts = np.split(by_home, np.searchsorted(home[by_home], np.arange(1, totals.shards)))
+        by_home = contexts[np.argsort(home[contexts], kind="stable")]
+        # only shards that the block has something for: their number follows from its pairs, however many there are
+        shard, home = shard[self.order], home[by_home]
+        self.asked = np.union1d(shard, home)
+        self.bounds = {int(s): ab for s, *ab in zip(self.asked, np.searchsorted(shard, self.asked), np.searchsorted(shard, self.asked, "right"), strict=True)}
+        self.contexts = {int(s): by_home[a:b] for s, a, b in zip(self.asked, np.searchsorted(home, self.asked), np.searchsorted(home, self.asked, "right"), strict=True)}
 
     def asks(self) -> list[tuple]:
         """For each shard: its contexts, their counts and numbers of pairs; the pairs' words, training counts and base probabilities."""
@@ -200,10 +204,8 @@ class Block:
         logs = np.clip(np.round(-25 * np.log10(self.base)), 0, 255).astype(np.uint8)
         contexts, words = self.context[self.order], self.word[self.order]
         out = []
-        for s, own in enumerate(self.contexts):
-            a, b = self.bounds[s : s + 2]
-            if a == b and not len(own):
-                continue
+        for s, own in self.contexts.items():
+            a, b = self.bounds[s]
             c = np.unique(np.concatenate((own, contexts[a:b])))
             size = np.bincount(np.searchsorted(c, contexts[a:b]), minlength=len(c))
             w = words[a:b]
@@ -214,9 +216,9 @@ class Block:
         found = np.zeros(len(self.first))
         for r in rows:
             if r[0] == CODES:
-                codes, book = unpack(r[3])
-                a, b = self.bounds[r[2] : r[2] + 2]
-                found[self.order[a:b]] = book[codes]
+                (codes,) = unpack(r[3])
+                a, b = self.bounds[r[2]]
+                found[self.order[a:b]] = level(codes)
         weight = m[np.frexp(np.maximum(self.counts, 1))[1]]
         back = np.where(self.counts > 0, weight / (self.counts + weight), 1.0)
         found *= 1 - back[self.context]
@@ -276,9 +278,9 @@ def answer_pairs(table: pa.Table) -> pa.Table:
     with tempfile.TemporaryDirectory() as folder:
         Trie.write(path := os.path.join(folder, "trie"), c[kept], w[kept], counts[kept] / of[kept])
         trie = Trie(path)
-        book, codes = np.array(trie.book), np.empty(len(order), np.uint8)
+        codes = np.empty(len(order), np.uint16)
         codes[order] = trie.lookup(c, w)[group]
-    out = [(CODES, r[1], r[2], pack(x, book)) for r, x in zip(asked, np.split(codes, sizes[:-1]), strict=True)]
+    out = [(CODES, r[1], r[2], pack(x)) for r, x in zip(asked, np.split(codes, sizes[:-1]), strict=True)]
     return pa.Table.from_batches([_batch([*out, (FIT, -1, asked[0][2], sums.tobytes())])])
 
 
@@ -292,10 +294,11 @@ def add_fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(docs: DataFrame, folds: int = 10, block: int = BLOCK, key: str = "doc_id", text: str = "text") -> DataFrame:
     """SCORES of all documents; those whose id's remainder is not 0 teach the model.
 
-    There are as many shards as docs has partitions (MOST_SHARDS at most), so the
-    rows of a shard grow no faster than a partition does.
+    There are as many shards as docs has partitions, so the rows of a shard grow no
+    faster than a partition does. A block sends a row to each shard that it asks, a
+    pair's at the least, so rows are as many as pairs at most.
     """
-    shards = min(MOST_SHARDS, max(4, docs.rdd.getNumPartitions()))
+    shards = max(4, docs.rdd.getNumPartitions())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()

@@ -1,13 +1,14 @@
 """Media columns: ISO base media files, read by their boxes alone.
 
-``scan`` walks the nested boxes of a file and decodes the sample tables of its
-first audio track; the payload is never decoded. ``encode`` writes a payload as
-8-bit PCM samples of such a file.
+``scan`` walks the nested boxes of a file and decodes the sample tables of all its
+tracks, sound, video and others, and the runs of movie fragments; the payload is
+never decoded. ``encode`` writes a payload as 8-bit PCM samples of such a file.
 
 Defined cases: a null file gives nulls with the error "null"; a truncated or
-malformed file gives nulls and the error's text; repeated rows give repeated
-results; an empty table gives an empty result; other columns are left alone.
-A null or empty text is stored as 64 zero bytes.
+malformed file, however its tables contradict each other, gives nulls and the
+error's text, and no file stops the job; a file without tracks is an error;
+repeated rows give repeated results; an empty table gives an empty result; other
+columns are left alone. A null or empty text is stored as 64 zero bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from corvane.llm.common import documents
 
 #: Boxes whose payload is a list of boxes (ISO/IEC 14496-12). Fixed values.
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex", b"moof", b"traf"}
+#: Flags of a fragment's header and run, and the bytes that each field takes. Fixed values.
+TFHD = ((0x1, "base", 8), (0x2, "description", 4), (0x8, "duration", 4), (0x10, "size", 4), (0x20, "flags", 4))
+TRUN = ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift"))
+NOT_SYNC = 0x10000
+DEPTH = 16
 CHUNK = 4096
 RATE = 8000
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -81,6 +87,8 @@ def encode(payload: bytes, chunk: int = CHUNK, rate: int = RATE) -> bytes:
 def boxes(data: bytes, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
     """(path, start, end) of the payload of every box, containers before what they hold."""
     end = len(data) if end is None else end
+    if len(path) > DEPTH:
+        raise MediaError(f"boxes nested deeper than {DEPTH}")
     while start < end:
         if end - start < 8:
             raise MediaError(f"{end - start} stray bytes at {start}")
@@ -105,63 +113,170 @@ def _ints(data: bytes, at: int, end: int, n: int, width: int = 1, kind: str = ">
     return np.frombuffer(data, kind, n * width, at).astype(np.int64).reshape(n, width)
 
 
-def scan(data: bytes) -> dict:
-    """codec, channels, bits, rate, timescale, duration, samples; starts and lengths of chunks and of keyframes.
+def _field(data: bytes, fmt: str, at: int, end: int) -> tuple:
+    if at < 0 or at + struct.calcsize(fmt) > end:
+        raise MediaError(f"a box ends within its field at {at}")
+    return struct.unpack_from(fmt, data, at)
 
-    A keyframe's range runs from its sync sample to the next sync sample or the
-    end of its chunk. Without a table of sync samples every sample is one, and
-    ranges are whole chunks.
-    """
-    at: dict[bytes, tuple[int, int]] = {}
-    sound = False
-    for path, lo, hi in boxes(data):
-        if path[-1] == b"trak":
-            if sound:
-                break
-            at = {}
-        elif path[-1] == b"hdlr":
-            sound = data[lo + 8 : lo + 12] == b"soun"
-        at.setdefault(path[-1], (lo, hi))
-    if missing := [k for k in (b"mdhd", b"stsd", b"stts", b"stsc", b"stsz") if k not in at]:
-        raise MediaError(f"no box {missing[0]!r}")
-    lo, hi = at[b"mdhd"]
-    timescale, duration = struct.unpack_from(">II", data, lo + 12) if data[lo] == 0 else struct.unpack_from(">IQ", data, lo + 20)
-    lo, hi = at[b"stsd"]
-    codec = data[lo + 12 : lo + 16].decode("latin-1")
-    channels, bits, _, _, rate = struct.unpack_from(">HHHHI", data, lo + 32)
-    lo, hi = at[b"stsz"]
-    fixed, n = struct.unpack_from(">II", data, lo + 4)
-    lo2, hi2 = at[b"stts"]
-    stts = _ints(data, lo2 + 8, hi2, int.from_bytes(data[lo2 + 4 : lo2 + 8], "big"), 2)
+
+def _rows(data: bytes, span: tuple[int, int], width: int = 1, kind: str = ">u4") -> np.ndarray:
+    """A table that begins with its number of entries."""
+    (n,) = _field(data, ">I", span[0] + 4, span[1])
+    return _ints(data, span[0] + 8, span[1], n, width, kind)
+
+
+def _entry(data: bytes, span: tuple[int, int], handler: str) -> dict:
+    """The first sample description: codec, and what sound or video entries say of their form."""
+    lo, hi = span
+    (count,) = _field(data, ">I", lo + 4, hi)
+    if not count:
+        raise MediaError("no sample description")
+    out = {"codec": data[lo + 12 : lo + 16].decode("latin-1"), "channels": None, "bits": None, "rate": None, "width": None, "height": None}
+    if handler == "soun":
+        out["channels"], out["bits"], _, _, rate = _field(data, ">HHHHI", lo + 32, hi)
+        out["rate"] = rate >> 16
+    elif handler == "vide":
+        out["width"], out["height"] = _field(data, ">HH", lo + 40, hi)
+    return out
+
+
+def _samples(data: bytes, at: dict, n: int, fixed: int) -> dict:
+    """Chunks and keyframes as (start, length), total duration, and the largest composition shift."""
+    stts = _rows(data, at[b"stts"], 2)
     if int(stts[:, 0].sum()) != n:
         raise MediaError("stts and stsz disagree")
-    sizes = None if fixed else _ints(data, lo + 12, hi, n)[:, 0]
-    lo, hi = at.get(b"stco") or at.get(b"co64") or (0, 0)
-    if not hi:
+    sizes = None if fixed else _ints(data, at[b"stsz"][0] + 12, at[b"stsz"][1], n)[:, 0]
+    if b"stco" in at:
+        offsets = _rows(data, at[b"stco"])[:, 0]
+    elif b"co64" in at:
+        offsets = _rows(data, at[b"co64"], 1, ">u8")[:, 0]
+    else:
         raise MediaError("no chunk offsets")
-    offsets = _ints(data, lo + 8, hi, int.from_bytes(data[lo + 4 : lo + 8], "big"), 1, ">u4" if b"stco" in at else ">u8")[:, 0]
-    lo, hi = at[b"stsc"]
-    runs = _ints(data, lo + 8, hi, int.from_bytes(data[lo + 4 : lo + 8], "big"), 3)
-    per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(offsets) + 1)))
+    runs = _rows(data, at[b"stsc"], 3)
+    first = np.append(runs[:, 0], len(offsets) + 1)
+    if len(offsets) and (not len(runs) or first[0] != 1) or (np.diff(first) < 0).any() or len(first) > 2 and (np.diff(first[:-1]) <= 0).any():
+        raise MediaError("stsc does not run from the first chunk to the last")
+    per = np.repeat(runs[:, 1], np.diff(first)) if len(offsets) else np.zeros(0, np.int64)
     if len(per) != len(offsets) or int(per.sum()) != n:
         raise MediaError("stsc, stco and stsz disagree")
     first = np.concatenate(([0], np.cumsum(per)))  # of each chunk
     ends = fixed * np.arange(n + 1, dtype=np.int64) if fixed else np.concatenate(([0], np.cumsum(sizes)))
     lengths = ends[first[1:]] - ends[first[:-1]]
-    if len(offsets) and (int((offsets + lengths).max()) > len(data)):
+    if len(offsets) and (int(offsets.min()) < 0 or int((offsets + lengths).max()) > len(data)):
         raise MediaError("a chunk ends beyond the file")
     if b"stss" in at:
-        lo, hi = at[b"stss"]
-        sync = _ints(data, lo + 8, hi, int.from_bytes(data[lo + 4 : lo + 8], "big"))[:, 0] - 1
+        sync = _rows(data, at[b"stss"])[:, 0] - 1
+        if len(sync) and (sync[0] < 0 or sync[-1] >= n or (np.diff(sync) <= 0).any()):
+            raise MediaError("stss does not name samples in order")
         chunk = np.searchsorted(first, sync, "right") - 1
-        stop = np.minimum(np.append(sync[1:], n), first[chunk + 1])
+        stop = np.minimum(np.append(sync[1:], n), first[chunk + 1])[: len(sync)]
         keys = np.stack((offsets[chunk] + ends[sync] - ends[first[chunk]], ends[stop] - ends[sync]), 1)
     else:
         keys = np.stack((offsets, lengths), 1)
-    return {
-        "codec": codec, "channels": channels, "bits": bits, "rate": rate >> 16, "timescale": timescale, "duration": duration,
-        "samples": n, "chunks": np.stack((offsets, lengths), 1), "keyframes": keys,
-    }
+    shift = 0
+    if b"ctts" in at:
+        ctts = _rows(data, at[b"ctts"], 2, ">i4" if data[at[b"ctts"][0]] else ">u4")
+        if int(ctts[:, 0].sum()) != n:
+            raise MediaError("ctts and stsz disagree")
+        shift = int(ctts[:, 1].max(initial=0))
+    return {"chunks": np.stack((offsets, lengths), 1), "keyframes": keys, "ticks": int((stts[:, 0] * stts[:, 1]).sum()), "shift": shift}
+
+
+def _track(data: bytes, at: dict) -> dict:
+    if missing := [k for k in (b"tkhd", b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz") if k not in at]:
+        raise MediaError(f"no box {missing[0]!r}")
+    lo, hi = at[b"tkhd"]
+    (number,) = _field(data, ">I", lo + (20 if data[lo] else 12), hi)
+    lo, hi = at[b"mdhd"]
+    timescale, duration = _field(data, ">IQ", lo + 20, hi) if data[lo] else _field(data, ">II", lo + 12, hi)
+    handler = data[at[b"hdlr"][0] + 8 : at[b"hdlr"][0] + 12].decode("latin-1")
+    fixed, n = _field(data, ">II", at[b"stsz"][0] + 4, at[b"stsz"][1])
+    return {"track": number, "handler": handler, "timescale": timescale, "duration": duration, "samples": n, **_entry(data, at[b"stsd"], handler), **_samples(data, at, n, fixed)}
+
+
+def _fragment(data: bytes, moof: int, found: list[tuple], tracks: dict[int, dict], defaults: dict[int, tuple]) -> None:
+    """Add the runs of one movie fragment to their tracks."""
+    head: dict = {}
+    for kind, lo, hi in found:
+        flags = int.from_bytes(data[lo + 1 : lo + 4], "big")
+        if kind == b"tfhd":
+            (number,) = _field(data, ">I", lo + 4, hi)
+            if number not in tracks:
+                raise MediaError(f"a fragment of track {number}, which is not there")
+            duration, size, sync = defaults.get(number, (0, 0, 0))
+            head, at = {"track": tracks[number], "base": moof, "duration": duration, "size": size, "flags": sync}, lo + 8
+            for bit, name, width in TFHD:
+                if flags & bit:
+                    (head[name],) = _field(data, ">Q" if width == 8 else ">I", at, hi)
+                    at += width
+        elif kind == b"trun":
+            if not head:
+                raise MediaError("a run without its fragment's header")
+            (n,) = _field(data, ">I", lo + 4, hi)
+            at, start, first = lo + 8, head["base"], None
+            if flags & 1:
+                start += _field(data, ">i", at, hi)[0]
+                at += 4
+            if flags & 4:
+                (first,) = _field(data, ">I", at, hi)
+                at += 4
+            names = [name for bit, name in TRUN if flags & bit]
+            table = _ints(data, at, hi, n, len(names)) if names else np.zeros((n, 0), np.int64)
+            columns = {name: table[:, k] for k, name in enumerate(names)}
+            sizes = columns.get("size", np.full(n, head["size"], np.int64))
+            marks = columns.get("flags", np.full(n, head["flags"], np.int64)).copy()
+            if first is not None and n:
+                marks[0] = first
+            starts = start + np.cumsum(sizes) - sizes
+            if n and (start < 0 or int(starts[-1] + sizes[-1]) > len(data)):
+                raise MediaError("a run ends beyond the file")
+            sync, track = (marks & NOT_SYNC) == 0, head["track"]
+            track["chunks"] = np.concatenate((track["chunks"], [(start, int(sizes.sum()))])) if n else track["chunks"]
+            track["keyframes"] = np.concatenate((track["keyframes"], np.stack((starts[sync], sizes[sync]), 1)))
+            track["samples"] += n
+            track["ticks"] += int(columns.get("duration", np.full(n, head["duration"], np.int64)).sum())
+            head["base"] = int(starts[-1] + sizes[-1]) if n and not flags & 1 else head["base"]
+
+
+def tracks(data: bytes) -> list[dict]:
+    """Every track: number, handler, codec, form, timescale, duration, samples; starts and lengths of chunks and of keyframes.
+
+    A keyframe's range runs from its sync sample to the next sync sample or the end
+    of its chunk; in fragments it is the sample. Without a table of sync samples
+    every sample is one, and ranges are whole chunks.
+    """
+    parts: list[dict[bytes, tuple[int, int]]] = []
+    fragments: list[tuple[int, list[tuple]]] = []
+    defaults: dict[int, tuple] = {}
+    for path, lo, hi in boxes(data):
+        if path[-1] == b"trak":
+            parts.append({})
+        elif path[-1] == b"moof":
+            fragments.append((lo - 8, []))
+        elif b"trak" in path:
+            parts[-1].setdefault(path[-1], (lo, hi))
+        elif path[-1] == b"trex":
+            number, _, duration, size, sync = _field(data, ">IIIII", lo + 4, hi)
+            defaults[number] = (duration, size, sync)
+        elif b"traf" in path and path[-1] in (b"tfhd", b"trun"):
+            fragments[-1][1].append((path[-1], lo, hi))
+    if not parts:
+        raise MediaError("no tracks")
+    found = [_track(data, at) for at in parts]
+    for moof, runs in fragments:
+        _fragment(data, moof, runs, {t["track"]: t for t in found}, defaults)
+    for t in found:
+        t["duration"] = t["duration"] or t["ticks"]
+    return found
+
+
+def scan(data: bytes) -> dict:
+    """The first sound track of ``tracks``, or else the first track."""
+    try:
+        found = tracks(data)
+    except (ValueError, IndexError, OverflowError, MemoryError, struct.error) as e:
+        raise e if isinstance(e, MediaError) else MediaError(str(e)) from e
+    return next((t for t in found if t["handler"] == "soun"), found[0])
 
 
 def payload(data: bytes, found: dict) -> bytes:
@@ -174,12 +289,21 @@ def feature(found: dict) -> str:
     return f"codec={found['codec'].strip()};channels={found['channels']};bits={found['bits']};rate={found['rate']};duration={found['duration']}/{found['timescale']};samples={found['samples']};keyframes={keys}"
 
 
-SCAN_SCHEMA = "codec string, duration double, samples long, keyframes array<struct<offset:long,length:long>>, error string"
+RANGES = "array<struct<offset:long,length:long>>"
+TRACK = f"struct<track:long,handler:string,codec:string,duration:double,samples:long,channels:int,bits:int,rate:int,width:int,height:int,keyframes:{RANGES}>"
+SCAN_SCHEMA = f"codec string, duration double, samples long, keyframes {RANGES}, tracks array<{TRACK}>, error string"
 
 
 def media_columns(df: DataFrame, column: str, key: str) -> DataFrame:
-    """The key column with what ``scan`` finds in each file of a binary column."""
+    """The key column with every track of each file of a binary column, and those of the first sound track (or first track) as columns."""
     kind = df.schema[key].dataType.simpleString()
+    span = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
+    i, s = pa.int32(), pa.string()
+    track = pa.struct([("track", pa.int64()), ("handler", s), ("codec", s), ("duration", pa.float64()), ("samples", pa.int64()), ("channels", i), ("bits", i), ("rate", i), ("width", i), ("height", i), ("keyframes", span)])
+
+    def told(t: dict) -> dict:
+        ranges = [{"offset": a, "length": n} for a, n in t["keyframes"].tolist()]
+        return t | {"duration": t["duration"] / t["timescale"] if t["timescale"] else None, "keyframes": ranges}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,14 +312,14 @@ def media_columns(df: DataFrame, column: str, key: str) -> DataFrame:
                 try:
                     if data is None:
                         raise MediaError("null")
-                    x = scan(data)
-                    rows.append((x["codec"], x["duration"] / x["timescale"] if x["timescale"] else None, x["samples"], [{"offset": a, "length": n} for a, n in x["keyframes"].tolist()], None))
-                except (MediaError, struct.error) as e:
-                    rows.append((None, None, None, None, str(e)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            keys = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
-            types = [pa.string(), pa.float64(), pa.int64(), keys, pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [key, "codec", "duration", "samples", "keyframes", "error"])
+                    found = [told(t) for t in tracks(data)]
+                    x = next((t for t in found if t["handler"] == "soun"), found[0])
+                    rows.append((x["codec"], x["duration"], x["samples"], x["keyframes"], [{f.name: t[f.name] for f in track} for t in found], None))
+                except (ValueError, IndexError, OverflowError, MemoryError, struct.error) as e:
+                    rows.append((None, None, None, None, None, str(e) or type(e).__name__))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            types = [s, pa.float64(), pa.int64(), span, pa.list_(track), s]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [key, "codec", "duration", "samples", "keyframes", "tracks", "error"])
 
     return df.select(key, column).mapInArrow(each, f"`{key}` {kind}, {SCAN_SCHEMA}")
 

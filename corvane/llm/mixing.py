@@ -8,7 +8,7 @@ through the null space of the balancing constraints (documents, words), by rando
 steps that keep its expectation, until nearly all of it is 0 or 1.
 
 The walk is sequential, so a source is cut into strata of at most ``STRATUM``
-documents by a hash of their rows. What each stratum leaves open (two documents
+documents by a hash of their rows and, for rows alike, their number among them. What each stratum leaves open (two documents
 at most) is walked again, in strata likewise, until a source has one stratum
 left. Both sums are kept on the way. The last stratum stops at ``LANDING`` open
 documents, and of their subsets takes the one nearest in words, then in
@@ -36,6 +36,8 @@ from corvane.llm.common import WORD, documents, written
 WEIGHTS = (3, 1, 2)
 STRATUM = 2_000
 LANDING = 12
+#: Alike rows that one task deals out at a time.
+COPIES = 10_000
 DRAWN = "doc_id long, source string, size long, source_size long, target double, base long, tag long, strata long, p double"
 
 
@@ -110,9 +112,19 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def sized(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, *keep: str) -> DataFrame:
-    """Written rows of DRAWN at the start of the walk, with the columns keep: one scan of the texts."""
-    tag = F.xxhash64("doc_id", "text", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    rows = written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), tag.alias("tag"), *keep), "mixing-sizes")
+    """Written rows of DRAWN at the start of the walk, with the columns keep: one scan of the texts.
+
+    Rows that are alike are counted, and dealt out again with a number each, a
+    block of rows at a time; so every row has a tag of its own that follows from
+    the table alone, and copies of one document spread over all strata.
+    """
+    columns = ["doc_id", "source", "size", "like", *keep]
+    alike = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", *keep).alias("like"), *keep)
+    counted = alike.groupBy(*columns).agg(F.count("*").alias("times"))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / COPIES)))).repartition("like", "block")
+    inside = F.least(F.col("times") - F.col("block") * COPIES, F.lit(COPIES).cast("long"))
+    each = blocks.withColumn("inside", F.explode(F.sequence(F.lit(1).cast("long"), inside))).withColumn("nth", F.col("inside") + F.col("block") * COPIES)
+    rows = written(each.select("doc_id", "source", "size", F.xxhash64("like", "nth").alias("tag"), *keep), "mixing-sizes")
     t = targets(rows, weights, share).withColumnRenamed("source", "of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(rate)

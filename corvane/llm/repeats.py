@@ -3,19 +3,23 @@
 Every string of ``LENGTH`` bytes has an anchor: the place of its least hashed
 k-mer. Equal strings have their anchors at the same place, so only stretches whose
 anchors' k-mers are equal need comparing. A stretch is a run of neighbouring
-strings with one anchor. Equal stretches are counted as wholes, with partial
-aggregation; different stretches around equal k-mers become the documents of a
-collection. Its BWT is built as Bauer, Cox and Rosone do, one symbol of each
-document a round, from the right: the order of the suffixes of the round before,
-stably sorted by the new symbol, is the new order, and common prefixes follow from
-the minimum between neighbours (Cox et al. 2016). Stretches are aligned on their
-anchors and equal strings lie at equal distance from them, so a round need only
-order the suffixes of its own column; the order and the prefixes of a round are
-written to a sequential file, read by the next. A string repeats where the
-common prefix with a neighbour reaches LENGTH.
-
-An anchor with more than ``CROWD`` different stretches is no task's: its strings
-are counted one by one, by 128-bit hashes, with partial aggregation.
+strings with one anchor. The different stretches around equal k-mers are the
+documents of a collection, aligned on their anchors; one that occurs several times
+is held once, with its count. The collection's BWT is built as Bauer, Cox and
+Rosone do, from the right, one symbol of each document a round: the symbols that
+stand before the suffixes so far, in the order of these, are the transform's next
+column, and counting them gives the places of the longer suffixes. Common prefixes
+follow from the minimum between neighbours (Cox et al. 2016). Transform, order and
+prefixes are sequential files that each round appends to, reading the last column
+only: as equal strings lie at equal distance from their anchors, suffixes of
+different columns need no order among each other. When all columns are in, one
+sequential pass finds every repeated string: its common prefix with a neighbour
+reaches LENGTH, or its document occurs several times.
+
+An anchor with more than ``CROWD`` different stretches is divided before: into
+blocks of neighbouring starts, and by the bytes that all strings of a block hold;
+again and again, down to single strings if need be. So the BWT decides every case
+and no collection grows with the data.
 
 Defined cases: a null or empty text has no bytes and nothing is removed; texts
 shorter than LENGTH keep all; repeated rows repeat each other and lose all, equal
@@ -32,16 +36,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import documents, release, stable, written
+from corvane.llm.common import discard, documents, release, stable, written
 
 LENGTH = 400
 KMER = 128
-CROWD = 65_536
+CROWD = 2_048
 PIECE = 1 << 21
-BATCH = 32_768
+BATCH = 8_192
 PLACE = np.uint64((1 << 24) - 1)
 RUNS = "row long, h long, a int, s0 int, s1 int, g1 long, g2 long"
 
@@ -131,59 +136,68 @@ def _pieces(rows: Iterator[tuple[int, bytes]], length: int) -> Iterator[list[tup
         yield batch
 
 
-class Columns:
-    """The BWT of a collection of aligned documents, a column a round."""
+class ColumnBwt:
+    """The BWT of a collection of aligned documents, a column a round, with its common prefixes, in sequential files."""
 
     def __init__(self, group: np.ndarray, table: np.ndarray, lo: np.ndarray, hi: np.ndarray, folder: str):
-        """group: ascending; table: a row for each column; lo, hi: the columns each document covers."""
-        self.group, self.table, self.lo, self.hi = group, table, lo, hi
-        self.files = [os.open(os.path.join(folder, name), os.O_RDWR | os.O_CREAT) for name in ("even", "odd")]
-        self._put(len(table), np.arange(len(group), dtype=np.int32), np.full(len(group), len(table), np.int32))
-
-    def _put(self, c: int, *arrays: np.ndarray) -> None:
-        data = memoryview(np.concatenate(arrays)).cast("B")
-        at = 0
-        while at < len(data):
-            at += os.pwrite(self.files[c % 2], data[at:], at)
-
-    def _get(self, c: int) -> np.ndarray:
-        parts, at, size = [], 0, 8 * len(self.group)
-        while at < size:
-            parts.append(os.pread(self.files[c % 2], size - at, at))
-            at += len(parts[-1])
-        return np.frombuffer(b"".join(parts), np.int32).reshape(2, -1)
-
-    def close(self) -> None:
-        for f in self.files:
-            os.close(f)
-
-    def round(self, c: int) -> tuple[np.ndarray, np.ndarray]:
-        """Insert column c: (documents in the order of their suffixes from c; column at which each first differs from the one before)."""
-        order, differs = self._get(c + 1)
-        symbol = self.table[c][order].astype(np.int64)
-        symbol[(c < self.lo[order]) | (c >= self.hi[order])] = 256  # not covered: last of its group, and equal to none
-        key = self.group[order] << 9 | symbol
-        at = np.argsort(key, kind="stable")
-        key = key[at]
-        same = np.zeros(len(at), bool)
-        same[1:] = (key[1:] == key[:-1]) & (key[1:] & 511 != 256)
-        new = np.full(len(at), c, np.int32)
-        new[same] = differs[at[same]]
+        """group: numbers from 0, ascending; table: a row for each column; lo, hi: the columns each document covers."""
+        self.group, self.table, self.lo, self.hi, self.n = group.astype(np.uint16), table, lo, hi, len(group)
+        self.files = {name: os.open(os.path.join(folder, name), os.O_RDWR | os.O_CREAT) for name in ("transform", "order", "prefixes")}
+        self.columns = 0
+        self._append("order", np.arange(self.n, dtype=np.int32))
+        self._append("prefixes", np.zeros(self.n, np.int16))
+
+    def _append(self, name: str, data: np.ndarray) -> None:
+        rest = memoryview(np.ascontiguousarray(data)).cast("B")
+        while len(rest):
+            rest = rest[os.write(self.files[name], rest) :]
+
+    def section(self, name: str, column: int, kind: type) -> np.ndarray:
+        """A column of a file: that of the suffixes after so many rounds."""
+        size, parts = self.n * np.dtype(kind).itemsize, []
+        while (at := sum(map(len, parts))) < size:
+            parts.append(os.pread(self.files[name], size - at, column * size + at))
+        return np.frombuffer(b"".join(parts), kind)
+
+    def insert(self, c: int) -> None:
+        """One symbol of each document: that of column c, before the suffixes so far."""
+        order, prefixes = self.section("order", self.columns, np.int32), self.section("prefixes", self.columns, np.int16)
+        symbols = self.table[c][order].astype(np.uint16)
+        symbols[(c < self.lo[order]) | (c >= self.hi[order])] = 256  # not covered: last of its group, and equal to none
+        self._append("transform", symbols)
+        # within a group, smaller symbols first, equal ones in the order of the suffixes that they stand before
+        at = np.argsort(symbols, kind="stable")
+        at = at[np.argsort(self.group[at], kind="stable")]
+        symbols = symbols[at]
+        same = np.zeros(self.n, bool)
+        same[1:] = (self.group[1:] == self.group[:-1]) & (symbols[1:] == symbols[:-1]) & (symbols[1:] != 256)
+        new = np.zeros(self.n, np.int16)
+        new[same] = prefixes[at[same]] + 1
         far = np.flatnonzero(same)
         far = far[at[far] != at[far - 1] + 1]
         if len(far):
-            ranges = np.stack((at[far - 1] + 1, at[far] + 1), 1).ravel()
-            padded = np.append(differs, np.int32(0))
-            new[far] = np.minimum.reduceat(padded, ranges)[::2]
-        order = order[at]
-        self._put(c, order, new)
-        return order, new
+            between = np.stack((at[far - 1] + 1, at[far] + 1), 1).ravel()
+            new[far] = np.minimum.reduceat(np.append(prefixes, np.int16(0)), between)[::2] + 1
+        self._append("order", order[at])
+        self._append("prefixes", new)
+        self.columns += 1
+
+    def repeats(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each column, the last inserted last: its documents in order, and whether a neighbour shares length symbols or more."""
+        for k in range(1, self.columns + 1):
+            far = self.section("prefixes", k, np.int16) >= length
+            far[:-1] |= far[1:]
+            yield self.section("order", k, np.int32), far
+
+    def close(self) -> None:
+        for f in self.files.values():
+            os.close(f)
 
 
-def repeated(group: np.ndarray, texts: list[bytes], before: np.ndarray, strings: np.ndarray, length: int = LENGTH, k: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated(group: np.ndarray, texts: list[bytes], before: np.ndarray, strings: np.ndarray, copies: np.ndarray, length: int = LENGTH, k: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(stretch, from, to): the repeated strings among stretches of equal group (ascending), as ranges of starts from the anchor, inclusive.
 
-    before: bytes ahead of the anchor; strings: how many strings each stretch holds.
+    before: bytes ahead of the anchor; strings: how many strings each stretch holds; copies: how often it occurs.
     """
     reach = length - k
     n, lo = len(texts), reach - before
@@ -194,13 +208,12 @@ def repeated(group: np.ndarray, texts: list[bytes], before: np.ndarray, strings:
     table[column, np.repeat(np.arange(n), sizes)] = flat
     marks = np.zeros((reach + 3, n), bool)
     with tempfile.TemporaryDirectory() as folder:
-        bwt = Columns(group, table, lo, lo + sizes, folder)
+        bwt = ColumnBwt(group, table, lo, lo + sizes, folder)
         for c in reversed(range(len(table))):
-            order, differs = bwt.round(c)
+            bwt.insert(c)
+        for c, (order, far) in zip(reversed(range(len(table))), bwt.repeats(length), strict=True):
             if c <= reach:
-                far = differs - c >= length
-                far[:-1] |= far[1:]
-                marks[c + 1][order] = far & (lo[order] <= c) & (c < lo[order] + strings[order])
+                marks[c + 1][order] = (far | (copies[order] > 1)) & (lo[order] <= c) & (c < lo[order] + strings[order])
         bwt.close()
     edges = np.diff(marks.astype(np.int8), axis=0).T
     stretch, first = np.nonzero(edges == 1)
@@ -208,72 +221,119 @@ def repeated(group: np.ndarray, texts: list[bytes], before: np.ndarray, strings:
     return stretch, first - reach, last - 1 - reach
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = KMER, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written (row, doc_id, n_bytes, sha256) of all documents; (row, text) of those that share a k-mer; (row, at, to) ranges of repeated bytes."""
-    base = stable(docs.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+KIND = ("h", "g1", "g2")
+KINDS = "h long, g1 long, g2 long, copies long, ahead int, strings int, bytes binary"
+FOUND = "h long, g1 long, g2 long, first int, last int"
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for b in batches:
-            for part in _pieces(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), length):
-                rows, at = np.array([p[0] for p in part]), np.array([p[1] for p in part])
-                text, h, a, s0, s1, g1, g2 = stretches([p[2] for p in part], length, k)
-                signed = lambda x: pa.array(x.view(np.int64))
-                places = [pa.array((x + at[text]).astype(np.int32)) for x in (a, s0, s1)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[text]), signed(h), *places, signed(g1), signed(g2)], [c.split()[0] for c in RUNS.split(", ")])
 
-    runs = written(base.select("row", "text").mapInArrow(scan, RUNS), "repeats-runs")
-    # written, so that both sides of the joins below are plain shuffles, whose hot keys adaptive execution splits
-    common = written(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeats-common")
-    shared = written(runs.join(common, "h"), "repeats-shared")
-    whole = written(shared.groupBy("h", "g1", "g2").agg(F.count("*").alias("copies"), F.min(F.struct("row", "a", "s0", "s1")).alias("one")), "repeats-stretches")
-    kinds = written(whole.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "repeats-kinds")
-    compare = whole.join(kinds, "h").select("h", "copies", "kinds", "one.*")
-    copied = shared.join(whole.where("copies > 1").select("h", "g1", "g2"), ["h", "g1", "g2"]).select("row", F.col("s0").alias("at"), (F.col("s1") + length).alias("to"))
-    some = shared.select("row").distinct()
-    texts = written(base.join(some, "row").select("row", "text"), "repeats-texts")
-    facts = base.select("row", "doc_id", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
-    asked = compare.groupBy("row").agg(F.collect_list(F.struct("h", "copies", "kinds", "a", "s0", "s1")).alias("runs"))
-    cut = texts.join(asked, "row").select("row", "text", F.explode("runs").alias("r"))
-    cut = written(
-        cut.select("row", "r.h", "r.copies", "r.kinds", "r.a", (F.col("r.a") - F.col("r.s0")).alias("ahead"), (F.col("r.s1") - F.col("r.s0") + 1).alias("strings"), F.substring("text", F.col("r.s0") + 1, F.col("r.s1") - F.col("r.s0") + length).alias("bytes")),
-        "repeats-compare",
-    )
-    found = "row long, at int, to int"
 
-    def spans(rows: list, stretch: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
-        row, a = np.array([r[0] for r in rows])[stretch], np.array([r[2] for r in rows])[stretch]
-        return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array((a + first).astype(np.int32)), pa.array((a + last + length).astype(np.int32))], ["row", "at", "to"])
+def decide(kinds: DataFrame, length: int, k: int) -> DataFrame:
+    """FOUND of KINDS whose groups h are of a size for one task: through the BWT, batch by batch."""
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list) -> pa.RecordBatch:
-            group = np.cumsum(np.diff(np.array([r[1] for r in rows]), prepend=rows[0][1]) != 0)
-            return spans(rows, *repeated(group, [r[5] for r in rows], np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), length, k))
+            group = np.cumsum(np.diff(np.array([r[0] for r in rows]), prepend=rows[0][0]) != 0)
+            stretch, first, last = repeated(group, [r[6] for r in rows], *(np.array([r[c] for r in rows]) for c in (4, 5, 3)), length, k)
+            ids = [pa.array(np.array([r[c] for r in rows])[stretch], pa.int64()) for c in range(3)]
+            return pa.RecordBatch.from_arrays([*ids, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], _names(FOUND))
 
+        release()
         held: list = []
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if len(held) >= BATCH and held[-1][1] != r[1]:
+                if len(held) >= BATCH and held[-1][0] != r[0]:
                     yield done(held)
                     held = []
                 held.append(r)
         if held:
             yield done(held)
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return kinds.select(*_names(KINDS)).repartition("h").sortWithinPartitions("h").mapInArrow(columns, FOUND)
+
+
+def divide(kinds: DataFrame, width: int, length: int, k: int) -> DataFrame:
+    """Kinds cut into blocks of width starts: their KINDS columns with the kind that each comes from (of_h, of_g1, of_g2).
+
+    The new group is a hash of the old one, the block, and the bytes that all strings of the block hold.
+    """
+    reach = length - k
+    names = [*_names(KINDS), "of_h", "of_g1", "of_g2"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
         for b in batches:
-            for row, h, a, ahead, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data, start = np.frombuffer(data, np.uint8), np.arange(n)
-                x, y = (Rolling(data, s)(start, start + length).view(np.int64) for s in (1, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row)), pa.array(np.full(n, h)), pa.array((start - ahead).astype(np.int32)), pa.array((a - ahead + start).astype(np.int32)), pa.array(x), pa.array(y)], ["row", "h", "off", "at", "x", "y"])
+            out: list[tuple] = []
+            for h, g1, g2, copies, ahead, strings, data in zip(*(b.column(c).to_pylist() for c in _names(KINDS)), strict=True):
+                for block in range((reach - ahead) // width, (reach - ahead + strings - 1) // width + 1):
+                    lo, hi = block * width - reach, block * width - reach + width - 1
+                    first, last = max(lo, -ahead), min(hi, -ahead + strings - 1)
+                    shared = data[hi + ahead : lo + length + ahead] if width > 1 else data[lo + ahead : lo + length + ahead]
+                    part = data[first + ahead : last + length + ahead]
+                    group = xxhash.xxh64_intdigest(shared, (h ^ block * 0x9E3779B97F4A7C15) % (1 << 64))
+                    content = xxhash.xxh128_intdigest(part, first + reach)
+                    out.append((signed(group), signed(content >> 64), signed(content % (1 << 64)), copies, -first, last - first + 1, part, h, g1, g2))
+            columns = list(zip(*out, strict=True)) or [[]] * 10
+            i, s = pa.int64(), pa.int32()
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (i, i, i, i, s, s, pa.binary(), i, i, i), strict=True)], names)
+
+    return kinds.mapInArrow(each, KINDS + ", of_h long, of_g1 long, of_g2 long")
+
+
+def found_in(kinds: DataFrame, width: int, length: int, k: int, crowd: int) -> DataFrame:
+    """Written FOUND of written KINDS; groups of more than crowd kinds are divided first."""
+    sizes = written(kinds.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("h"), "repeats-crowds")
+    if width <= 1 or not sizes.limit(1).count():
+        return written(decide(kinds, length, k), "repeats-found")
+    few = written(decide(kinds.join(sizes, "h", "left_anti"), length, k), "repeats-found")
+    width = -(-width // 2)
+    parts = written(divide(kinds.join(sizes, "h", "left_semi").select(*_names(KINDS)), width, length, k), "repeats-parts")
+    one = parts.groupBy(*KIND).agg(F.sum("copies").alias("copies"), F.min("ahead").alias("ahead"), F.min("strings").alias("strings"), F.min("bytes").alias("bytes"))
+    below = written(one.select(*_names(KINDS)), "repeats-kinds")
+    found = found_in(below, width, length, k, crowd)
+    back = parts.select(*KIND, "of_h", "of_g1", "of_g2").join(found, [*KIND]).select(F.col("of_h").alias("h"), F.col("of_g1").alias("g1"), F.col("of_g2").alias("g2"), "first", "last")
+    out = written(few.union(back), "repeats-found")
+    discard(sizes, few, parts, below, found)
+    return out
+
 
-    fields = ("row", "h", "a", "ahead", "strings", "bytes")
-    few = cut.where(F.col("kinds") <= crowd).select(*fields).repartition("h").sortWithinPartitions("h").mapInArrow(columns, found)
-    many = cut.where(F.col("kinds") > crowd).select(*fields).mapInArrow(strings, "row long, h long, off int, at int, x long, y long")
-    twice = many.groupBy("h", "off", "x", "y").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    crowded = many.join(twice, ["h", "off", "x", "y"]).select("row", "at", (F.col("at") + length).cast("int").alias("to"))
-    return facts, texts, copied.union(few).union(crowded)
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = KMER, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written (row, doc_id, n_bytes, sha256) of all documents; (row, text) of those that share a k-mer; (row, at, to) ranges of repeated bytes."""
+    base = stable(docs.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for b in batches:
+            for part in _pieces(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), length):
+                rows, at = np.array([p[0] for p in part]), np.array([p[1] for p in part])
+                text, h, a, s0, s1, g1, g2 = stretches([p[2] for p in part], length, k)
+                signed = lambda x: pa.array(x.view(np.int64))
+                places = [pa.array((x + at[text]).astype(np.int32)) for x in (a, s0, s1)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[text]), signed(h), *places, signed(g1), signed(g2)], _names(RUNS))
+
+    runs = written(base.select("row", "text").mapInArrow(scan, RUNS), "repeats-runs")
+    # written, so that both sides of the joins below are plain shuffles, whose hot keys adaptive execution splits
+    common = written(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeats-common")
+    shared = written(runs.join(common, "h"), "repeats-shared")
+    discard(runs, common)
+    one = shared.groupBy(*KIND).agg(F.count("*").alias("copies"), F.min(F.struct("row", "a", "s0", "s1")).alias("one"))
+    asked = written(one.select(*KIND, "copies", "one.*"), "repeats-asked")
+    some = shared.select("row").distinct()
+    texts = written(base.join(some.hint("merge"), "row").select("row", "text"), "repeats-texts")
+    facts = base.select("row", "doc_id", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
+    # a text's stretches together, so that the text moves once; they are as many as its length allows
+    by = asked.groupBy("row").agg(F.collect_list(F.struct(*KIND, "copies", "a", "s0", "s1")).alias("runs"))
+    cut = texts.join(by.hint("merge"), "row").select("text", F.explode("runs").alias("r"))
+    ahead, strings = F.col("r.a") - F.col("r.s0"), F.col("r.s1") - F.col("r.s0") + 1
+    part = F.substring("text", F.col("r.s0") + 1, F.col("r.s1") - F.col("r.s0") + length)
+    kinds = written(cut.select("r.h", "r.g1", "r.g2", "r.copies", ahead.alias("ahead"), strings.alias("strings"), part.alias("bytes")), "repeats-kinds")
+    found = found_in(kinds, length - k + 1, length, k, crowd)
+    spans = shared.join(found, [*KIND]).select("row", (F.col("a") + F.col("first")).alias("at"), (F.col("a") + F.col("last") + length).alias("to"))
+    spans = written(spans, "repeats-spans")
+    discard(shared, asked, kinds, found)
+    return facts, texts, spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, crowd: int = CROWD) -> DataFrame:
@@ -298,9 +358,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, crowd:
             types = (pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], ["row", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    changed = texts.join(by, "row").select("row", "text", "spans").mapInArrow(cut, "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    changed = texts.join(by.hint("merge"), "row").select("row", "text", "spans").mapInArrow(cut, "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     none = F.lit(0).cast("long")
-    return facts.join(changed, "row", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "kept")
+    return facts.join(changed.hint("merge"), "row", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "kept")
 
 
 def op2_column_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

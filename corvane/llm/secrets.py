@@ -2,9 +2,13 @@
 
 Candidates of three kinds (assigned values, access keys, long hex runs) and
 free-standing mixed tokens are found in whole texts. Their values' hashes are
-counted over the corpus: how many owners, and how many repositories, hold each.
-A value that many hold is a copied example; one that a single owner holds and
-that looks live is a credential, and its free-standing spans are reported too.
+counted over the corpus: how many owners, and how many repositories, hold each,
+and whether it is anywhere a value of the three kinds. A value that many owners
+hold is a copied example; one that a single owner holds and that looks live is a
+credential. Free-standing tokens are reported as spans of a fourth kind, owned,
+where the corpus shows them to be such: the value of a credential, repeated
+without its assignment, or a token of ``LONG`` characters or more that looks live
+and has one owner.
 
 Defined cases: a null or empty text has no spans; a null owner or repository
 counts as one of its own; repeated rows and equal ids each keep their own row;
@@ -17,14 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import documents, written
+from corvane.llm.common import documents, pin_splits, written
 
 #: kind, pattern, the group that holds the value. Fixed values of the contract, but for the last.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = ["assign", "access", "hex", "owned"]
 #: Runs that may match at all: shorter ones would be dropped as wholes.
-PATTERNS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}", "owned": "[A-Za-z0-9_-]{20,}"}
-SOME = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[0-9][A-Za-z0-9_-]{9}|[A-Za-z0-9_-]{10}[0-9]"
+PATTERNS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}", "owned": "[A-Za-z0-9_-]{8,}"}
+#: A free-standing token of so many characters may be a credential by itself.
+LONG = 20
+SOME = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[0-9][A-Za-z0-9_-]{7}|[A-Za-z0-9_-]{4}[0-9][A-Za-z0-9_-]{3}|[A-Za-z0-9_-]{7}[0-9]"
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,hash:string,live:boolean>>"
 
 
@@ -62,6 +68,7 @@ def candidates(docs: DataFrame, key: str, text: str, owner: str, repository: Col
     One cheap pattern goes over every text first; the patterns with offsets run
     only where it matches, and each of them only where it matches itself.
     """
+    pin_splits(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast(SPAN)
     parts = [F.when(body.rlike(SOME), _spans(body, k)).otherwise(none) for k in KINDS]
@@ -72,36 +79,38 @@ def candidates(docs: DataFrame, key: str, text: str, owner: str, repository: Col
 
 
 def ownership(found: DataFrame, least_owners: int = 3) -> DataFrame:
-    """(hash, owners, repositories, class) of every candidate value of the corpus.
+    """(hash, owners, repositories, live, credential, class) of every candidate value of the corpus.
 
     The pairs are made distinct first, with partial aggregation before each
     shuffle: a value that a third of all rows hold sends a row per task.
     """
     each = found.where(F.size("spans") > 0).select("owner", "repository", F.explode("spans").alias("s"))
-    pairs = each.groupBy("s.hash", "owner", "repository").agg(F.max("s.live").alias("live"))
-    owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("n"), F.max("live").alias("live"))
-    return owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"), F.max("live").alias("live")).withColumn(
+    pairs = each.groupBy("s.hash", "owner", "repository").agg(F.max("s.live").alias("live"), F.max(F.col("s.kind") < 3).alias("credential"))
+    owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("n"), F.max("live").alias("live"), F.max("credential").alias("credential"))
+    return owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"), F.max("live").alias("live"), F.max("credential").alias("credential")).withColumn(
         "class", F.when(F.col("owners") >= least_owners, "example").when((F.col("owners") == 1) & F.col("live"), "live").otherwise("unclear")
     )
 
 
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: Column | None = None, least_owners: int = 3) -> DataFrame:
-    """(row, doc_id, spans with their class) for each row of docs; free-standing spans stay only where the corpus shows them owned.
+    """(row, doc_id, base, spans) for each row of docs: spans of the three kinds, and with those that ownership adds.
 
-    ``row`` is the row's monotonically increasing id in docs.
+    Each has its value's class, owners and repositories. ``row`` is the row's
+    monotonically increasing id in docs.
     """
     repository = F.struct(owner, "lang") if repository is None else repository
     found = candidates(docs, key, text, owner, repository)
     some = found.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s"))
-    known = ownership(found, least_owners).select("hash", "class")
-    told = some.join(known, some["s.hash"] == known["hash"]).select(
-        "row", F.struct("s.start", "s.kind", "s.end", "class").alias("s")
-    )
+    known = ownership(found, least_owners)
+    told = some.join(known, some["s.hash"] == known["hash"])
+    long = F.col("s.end") - F.col("s.start") >= LONG
+    told = told.where((F.col("s.kind") < 3) | ((F.col("class") == "live") & (F.col("credential") | long)))
+    told = told.select("row", F.struct("s.start", "s.kind", "s.end", "class", "owners", "repositories").alias("s"))
     told = told.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("told"))
-    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,class:string>>")
-    out = found.select("row", "doc_id").join(told, "row", "left").withColumn("told", F.coalesce("told", empty))
+    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,class:string,owners:bigint,repositories:bigint>>")
+    out = found.select("row", "doc_id").join(told.hint("merge"), "row", "left").withColumn("told", F.coalesce("told", empty))
     base = F.filter("told", lambda x: x["kind"] < 3)
-    owned = F.filter("told", lambda x: (x["kind"] == 3) & (x["class"] == "live"))
+    owned = F.filter("told", lambda x: x["kind"] == 3)
     alone = F.filter(owned, lambda x: ~F.exists(base, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
     return out.select("row", "doc_id", base.alias("base"), F.array_sort(F.concat(base, alone)).alias("spans"))
 
@@ -112,10 +121,12 @@ def _text(spans: Column) -> Column:
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
+    """The query's columns; classes, owners and repositories are those of the values of spans, in their order."""
     n = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return found.select(
-        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_text(F.col("base")), 256).alias("base_sha256"), _text(F.col("spans")).alias("spans")
-    )
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_text(F.col("base")), 256).alias("base_sha256"), _text(F.col("spans")).alias("spans"),
+        *[F.array_join(F.col(f"spans.{c}").cast("array<string>"), ",").alias(name) for c, name in (("class", "classes"), ("owners", "owners"), ("repositories", "repositories"))],
+    )
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:

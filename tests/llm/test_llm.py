@@ -88,11 +88,11 @@ def test_quality_keeps_good_text(spark):
     rnd = random.Random(1)
     good = [" ".join(rnd.choices(["the", "cat", "sat", "on", "a", "mat."], k=30)) for _ in range(80)]
     bad = [" ".join(rnd.choices(["BUY!!", "NOW$$$", "###", "CLICK!!"], k=30)) for _ in range(20)]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(good + bad)] + [(None, None, "x")], "doc_id long, text string, __noise string")
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(good + bad)] + [(None, None, "x")], "doc_id long, text string, noise string").withColumn("x", F.lit(1)).withColumn("__key", F.lit(2))
     labels = spark.createDataFrame([(i, int(i < 80), 0) for i in range(0, 100, 3)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
-    kept = {r.doc_id for r in quality.keep_good(docs.drop("__noise"), labels).collect()} - {None}
-    assert kept == set(range(80))
-    assert quality.keep_good(docs.drop("__noise"), labels.where("quality = 1")).count() == 101
+    kept = {r.doc_id for r in quality.keep_good(docs, labels).collect()} - {None}
+    assert kept == set(range(80)) and quality.keep_good(docs, labels).columns == docs.columns
+    assert quality.keep_good(docs, labels.where("quality = 1")).count() == 101
 
 
 def test_kth_largest(spark):
@@ -138,9 +138,14 @@ def test_near_duplicates_of_the_pipeline(spark):
     assert {r.row for r in neardup.duplicates(df).collect()} == {1, 3, 5}
 
 
+def jaccard(a, b):
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
 def brute_force_groups(texts):
     """Rows that are not the first of their component of pairs at 0.8 or more."""
-    sets = [neardup.shingles(t.encode()).tobytes() for t in texts]
+    sets = [neardup.shingles(t.encode()) for t in texts]
     root = list(range(len(texts)))
 
     def find(i):
@@ -150,7 +155,7 @@ def brute_force_groups(texts):
 
     for i in range(len(sets)):
         for j in range(i):
-            if neardup.jaccard(sets[i], sets[j]) >= 0.8:
+            if jaccard(sets[i], sets[j]) >= 0.8:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return {i for i in range(len(texts)) if find(i) != i}
@@ -180,8 +185,8 @@ def test_near_duplicates_within_a_form(spark):
     for i in range(0, n, 6):  # a copy that differs in one word
         texts.append([*texts[i][:200], f"copy{i}", *texts[i][201:]])
     texts = [" ".join(t) for t in texts]
-    sets = [neardup.shingles(t.encode()).tobytes() for t in texts]
-    assert neardup.jaccard(sets[0], sets[n]) >= 0.8 > max(neardup.jaccard(x, y) for x in (sets[0], sets[n]) for y in sets[1:n])
+    sets = [neardup.shingles(t.encode()) for t in texts]
+    assert jaccard(sets[0], sets[n]) >= 0.8 > max(jaccard(x, y) for x in (sets[0], sets[n]) for y in sets[1:n])
     df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
     assert {r.row for r in neardup.duplicates(df).collect()} == set(range(n, len(texts)))
 
@@ -265,9 +270,9 @@ def test_lm_scores_do_not_depend_on_the_partitions(spark):
     # "hot" is a context of far over 65,536 tokens, always before the same word
     texts = ["hot cold " * 3000 + " ".join(rnd.choices(words, k=60)) for _ in range(50)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    few, many = ({r.doc_id: r.score for r in lm.score(df.repartition(n)).collect()} for n in (4, 13))
+    few, many = ({r.doc_id: r.score for r in lm.score(df.repartition(n)).collect()} for n in (1, 40))
     assert few.keys() == many.keys()
-    assert all(few[i] == pytest.approx(many[i], rel=1e-3) for i in few)
+    assert all(few[i] == pytest.approx(many[i], rel=1e-9) for i in few)
     # nearly all is certain: half the mass on the base probability would cost 0.15 or more for each of 3000 pairs
     assert min(few.values()) > -400
 
