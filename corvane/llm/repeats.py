@@ -21,6 +21,10 @@ blocks of neighbouring starts, and by the bytes that all strings of a block hold
 again and again, down to single strings if need be. So the BWT decides every case
 and no collection grows with the data.
 
+The query adds a column over shorter strings, by the same method: the words of each
+document that lie in repeated runs of over 50 words. Many such runs have fewer than
+400 bytes, so nothing of them is removed.
+
 Defined cases: a null or empty text has no bytes and nothing is removed; texts
 shorter than LENGTH keep all; repeated rows repeat each other and lose all, equal
 ids keep a row each; texts of any length are cut into overlapping pieces for
@@ -44,6 +48,8 @@ from corvane.llm.common import discard, documents, release, stable, written
 
 LENGTH = 400
 KMER = 128
+#: A passage: a repeated run of over so many words, of strings of so many bytes.
+PASSAGE, PASSAGE_WORDS = 256, 50
 CROWD = 2_048
 PIECE = 1 << 21
 BATCH = 8_192
@@ -299,9 +305,8 @@ def found_in(kinds: DataFrame, width: int, length: int, k: int, crowd: int) -> D
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = KMER, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written (row, doc_id, n_bytes, sha256) of all documents; (row, text) of those that share a k-mer; (row, at, to) ranges of repeated bytes."""
-    base = stable(docs.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+def repeated_spans(base: DataFrame, length: int = LENGTH, k: int = KMER, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Of rows (row, text as bytes) that yield the same numbers each time: written (row, text) of those that share a k-mer; (row, at, to) ranges of repeated bytes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -322,7 +327,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = KMER, crowd:
     asked = written(one.select(*KIND, "copies", "one.*"), "repeats-asked")
     some = shared.select("row").distinct()
     texts = written(base.join(some.hint("merge"), "row").select("row", "text"), "repeats-texts")
-    facts = base.select("row", "doc_id", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
     # a text's stretches together, so that the text moves once; they are as many as its length allows
     by = asked.groupBy("row").agg(F.collect_list(F.struct(*KIND, "copies", "a", "s0", "s1")).alias("runs"))
     cut = texts.join(by.hint("merge"), "row").select("text", F.explode("runs").alias("r"))
@@ -333,35 +337,66 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = KMER, crowd:
     spans = shared.join(found, [*KIND]).select("row", (F.col("a") + F.col("first")).alias("at"), (F.col("a") + F.col("last") + length).alias("to"))
     spans = written(spans, "repeats-spans")
     discard(shared, asked, kinds, found)
-    return facts, texts, spans
+    return texts, spans
+
 
+def merged(spans: list) -> list[tuple[int, int]]:
+    """Ranges sorted by their start, with those that touch joined."""
+    out: list[list[int]] = []
+    for s in spans:
+        if out and s["at"] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], s["to"])
+        else:
+            out.append([s["at"], s["to"]])
+    return [(a, b) for a, b in out]
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): kept is null where the text stays whole."""
-    facts, texts, spans = repeated_spans(docs, length, k, crowd)
+
+def with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
     by = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("at", "to"))).alias("spans"))
+    return texts.join(by.hint("merge"), "row").select("row", "text", "spans")
+
+
+def passages(base: DataFrame, length: int = PASSAGE, words: int = PASSAGE_WORDS, k: int = KMER, crowd: int = CROWD) -> DataFrame:
+    """(row, passage_words): words within runs of over so many words that strings of length bytes, found elsewhere too, cover; rows with any."""
+    texts, spans = repeated_spans(base, length, k, crowd)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                runs = [len(text[x:y].split()) for x, y in merged(spans)]
+                found.append(sum(n for n in runs if n > words))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["row", "passage_words"])
+
+    return with_spans(texts, spans).mapInArrow(count, "row long, passage_words long").where("passage_words > 0")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KMER, crowd: int = CROWD, passage: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): kept is null where the text stays whole; with a passage length also passage_words."""
+    base = stable(docs.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    facts = base.select("row", "doc_id", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
+    more = []
+    if passage:
+        told = written(passages(base, passage, k=k, crowd=crowd), "repeats-passages")
+        facts = facts.join(told.hint("merge"), "row", "left")
+        more = [F.coalesce("passage_words", F.lit(0)).cast("long").alias("passage_words")]
+    texts, spans = repeated_spans(base, length, k, crowd)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                kept, end, merged, removed = [], 0, 0, 0
-                for s in spans:
-                    if s["at"] > end or not merged:
-                        kept.append(text[end : s["at"]])
-                        merged += 1
-                    removed += max(0, s["to"] - max(end, s["at"]))
-                    end = max(end, s["to"])
-                kept = b"".join([*kept, text[end:]])
-                for column, x in zip(out, (removed, merged, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                runs = merged(spans)
+                kept = b"".join(text[x:y] for x, y in zip([0, *(y for _, y in runs)], [*(x for x, _ in runs), len(text)], strict=True))
+                for column, x in zip(out, (len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept), strict=True):
                     column.append(x)
             types = (pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], ["row", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    changed = texts.join(by.hint("merge"), "row").select("row", "text", "spans").mapInArrow(cut, "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    changed = with_spans(texts, spans).mapInArrow(cut, "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     none = F.lit(0).cast("long")
-    return facts.join(changed.hint("merge"), "row", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "kept")
+    return facts.join(changed.hint("merge"), "row", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "kept", *more)
 
 
 def op2_column_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir)).drop("kept")
+    return remove_repeats(documents(spark, sf_dir), passage=PASSAGE).drop("kept")
