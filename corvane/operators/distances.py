@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators import elastic
 from corvane.operators.series import total
 
 
@@ -37,142 +38,105 @@ def lb_keogh(query: Column, candidate: Column, radius: int) -> Column:
     return total(F.transform(candidate, gap))
 
 
-def dtw(a: np.ndarray, b: np.ndarray, window: float = 1.0) -> float:
-    """Squared-cost dynamic time warping within a band around the stretched diagonal."""
-    n, m = len(a), len(b)
-    if not n or not m:
-        return 0.0 if n == m else np.inf
-    row = np.full(m, np.inf)
-    for i in range(n):
-        middle = i * (m - 1) / (n - 1) if n > 1 else 0.0
-        lo, hi = max(0, int(np.ceil(middle - window * m))), min(m - 1, int(np.floor(middle + window * m)))
-        new = np.full(m, np.inf)
-        cost = (a[i] - b) ** 2
-        for j in range(lo, hi + 1):
-            best = 0.0 if i == j == 0 else min(row[j], row[j - 1] if j else np.inf, new[j - 1] if j else np.inf)
-            new[j] = best + cost[j]
-        row = new
-    return float(row[-1])
-
-
-def erp(a: np.ndarray, b: np.ndarray, gap: float = 0.01) -> float:
-    row = np.concatenate(([0.0], np.cumsum((b - gap) ** 2)))
-    for x in a:
-        new = np.empty_like(row)
-        new[0] = row[0] + (x - gap) ** 2
-        for j, y in enumerate(b, 1):
-            new[j] = min(row[j - 1] + (x - y) ** 2, row[j] + (x - gap) ** 2, new[j - 1] + (y - gap) ** 2)
-        row = new
-    return float(row[-1])
-
-
-def lcss(a: np.ndarray, b: np.ndarray, epsilon: float = 0.01) -> float:
-    row = np.zeros(len(b) + 1, int)
-    for x in a:
-        new = row.copy()
-        for j, y in enumerate(b, 1):
-            new[j] = row[j - 1] + 1 if abs(x - y) <= epsilon else max(row[j], new[j - 1])
-        row = new
-    return 1 - row[-1] / max(1, min(len(a), len(b)))
-
-
-def dtw_many(a: np.ndarray, b: np.ndarray, window: float = 1.0) -> np.ndarray:
-    """dtw of each row of a with the same row of b."""
-    n, m = a.shape[1], b.shape[1]
-    if not n or not m:
-        return np.full(len(a), 0.0 if n == m else np.inf)
-    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    row = np.full(b.shape, np.inf)
-    for i in range(n):
-        middle = i * (m - 1) / (n - 1) if n > 1 else 0.0
-        lo, hi = max(0, int(np.ceil(middle - window * m))), min(m - 1, int(np.floor(middle + window * m)))
-        new, cost = np.full(b.shape, np.inf), (a[i] - b) ** 2
-        for j in range(lo, hi + 1):
-            if j:
-                best = np.minimum(np.minimum(row[j], row[j - 1]), new[j - 1])
-            else:
-                best = row[0] if i else 0.0
-            new[j] = best + cost[j]
-        row = new
-    return row[-1]
-
-
-def erp_many(a: np.ndarray, b: np.ndarray, gap: float = 0.01) -> np.ndarray:
-    """erp of each row of a with the same row of b."""
-    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    skip = (b - gap) ** 2
-    row = np.concatenate((np.zeros((1, b.shape[1])), np.cumsum(skip, axis=0)))
-    for x in a:
-        new, cost, drop = np.empty_like(row), (x - b) ** 2, (x - gap) ** 2
-        new[0] = row[0] + drop
-        for j in range(1, len(row)):
-            new[j] = np.minimum(np.minimum(row[j - 1] + cost[j - 1], row[j] + drop), new[j - 1] + skip[j - 1])
-        row = new
-    return row[-1]
-
-
-def lcss_many(a: np.ndarray, b: np.ndarray, epsilon: float = 0.01) -> np.ndarray:
-    """lcss of each row of a with the same row of b."""
-    n, m = a.shape[1], b.shape[1]
-    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    row = np.zeros((m + 1, b.shape[1]), int)
-    for x in a:
-        new, same = row.copy(), np.abs(x - b) <= epsilon
-        for j in range(1, m + 1):
-            new[j] = np.where(same[j - 1], row[j - 1] + 1, np.maximum(row[j], new[j - 1]))
-        row = new
-    return 1 - row[-1] / max(1, min(n, m))
-
-
-def folded(df: DataFrame, name: str, block: int = 256, parts: int = 64) -> DataFrame:
-    """Rows (id, s) as blocks: one array column of that name, of block rows at most."""
-    dealt = df.select("id", "s", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
-    number = F.row_number().over(Window.partitionBy("part").orderBy("id"))
-    dealt = dealt.withColumn("block", F.ceil(number / block))
-    return dealt.groupBy("part", "block").agg(F.collect_list(F.struct("id", "s")).alias(name)).select(name)
-
-
-def between(queries: DataFrame, rows: DataFrame, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 256, most: int = 4096) -> DataFrame:
-    """(a_id, b_id, distance) from each of queries (id, s) to each of rows (id, s) with another id, block by block; distance is one of the ``_many``."""
+def _one(distance: Callable[..., np.ndarray]) -> Callable[..., float]:
+    return lambda a, b, *more, **options: float(distance(a, b, *more, **options)[0])
+
+
+#: One pair, and a batch of pairs (rows of a with the same rows of b), of the distances in ``elastic``.
+dtw, erp, lcss = _one(elastic.dtw), _one(elastic.erp), _one(elastic.lcss)
+dtw_many, erp_many, lcss_many = elastic.dtw, elastic.erp, elastic.lcss
+
+BLOCK = "ids binary, width int, data binary"
+
+
+def blocks(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """Rows (id, s) as blocks of up to rows series of one length, as bytes; made within a batch, without a shuffle. Null ids and series, and series with nulls, are left out."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for q, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by: dict[tuple[int, int], list] = {}
-                for x in q:
-                    for y in c:
-                        if x["id"] != y["id"]:
-                            by.setdefault((len(x["s"]), len(y["s"])), []).append((x, y))
-                for pairs in by.values():
-                    for k in range(0, len(pairs), most):
-                        x, y = zip(*pairs[k : k + most], strict=True)
-                        found = distance(np.array([p["s"] for p in x], float), np.array([p["s"] for p in y], float))
-                        yield pa.RecordBatch.from_arrays([pa.array([p["id"] for p in x], pa.int64()), pa.array([p["id"] for p in y], pa.int64()), pa.array(found, pa.float64())], ["a_id", "b_id", "distance"])
-
-    pairs = folded(queries, "q", block, 16).crossJoin(folded(rows, "c", block))
-    return pairs.mapInArrow(each, "a_id long, b_id long, distance double")
-
-
-def nearest(queries: DataFrame, rows: DataFrame, k: int = 1, block: int = 256) -> DataFrame:
-    """(q, c, distance, rank): the k nearest of rows (id, s) for each of queries (id, s) by squared Euclidean distance, ties to the smaller id; not itself.
-
-    Queries and rows are folded into blocks, and each pair of blocks is one task's
-    matrix product that keeps k rows a query; blocks, not rows, are paired.
+            by: dict[int, tuple[list, list]] = {}
+            for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if i is not None and s is not None and None not in s:
+                    ids, data = by.setdefault(len(s), ([], []))
+                    ids.append(i)
+                    data.append(s)
+            out = [(np.array(ids[k : k + rows], "<i8").tobytes(), n, np.array(data[k : k + rows], "<f8").tobytes()) for n, (ids, data) in by.items() for k in range(0, len(ids), rows)]
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.binary()), strict=True)], ["ids", "width", "data"])
+
+    return df.select("id", "s").mapInArrow(each, BLOCK)
+
+
+def _unpacked(ids: bytes, width: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    i = np.frombuffer(ids, "<i8")
+    return i, np.frombuffer(data, "<f8").reshape(len(i), width)
+
+
+def block_pairs(queries: DataFrame, rows: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str, size: int = 1024) -> DataFrame:
+    """f(query ids, queries, row ids, rows) of every block of queries with every block of rows.
+
+    Blocks of rows are dealt to as many keys as there are blocks; each block of
+    queries is sent to every key. So a task holds two blocks at a time, and the
+    exchange moves bytes in proportion to blocks of queries times keys.
     """
+    keys = max(1, -(-rows.count() // size))
+    c = blocks(rows, size).select(F.pmod(F.xxhash64("ids"), F.lit(keys)).alias("key"), F.col("ids").alias("c_ids"), F.col("width").alias("c_width"), F.col("data").alias("c_data"))
+    q = blocks(queries, size).withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(keys - 1).cast("long"))))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for q, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                qi, ci = np.array([x["id"] for x in q]), np.array([x["id"] for x in c])
-                x, y = np.array([x["s"] for x in q]), np.array([x["s"] for x in c])
-                d = np.round(np.stack([((y - r) ** 2).sum(1) for r in x]), 9)
-                d[qi[:, None] == ci[None, :]] = np.inf
-                best = np.lexsort((np.broadcast_to(ci, d.shape), d), axis=1)[:, :k]
-                keep = np.isfinite(np.take_along_axis(d, best, 1))
-                row = np.broadcast_to(np.arange(len(qi))[:, None], best.shape)[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(ci[best[keep]]), pa.array(d[row, best[keep]])], ["q", "c", "distance"])
-
-    pairs = folded(queries, "q", block).crossJoin(folded(rows, "c", block))
-    hits = pairs.select("q", "c").mapInArrow(each, "q long, c long, distance double")
+            for r in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                yield from f(*_unpacked(*r[:3]), *_unpacked(*r[3:]))
+
+    return q.join(c.hint("shuffle_hash"), "key").select("ids", "width", "data", "c_ids", "c_width", "c_data").mapInArrow(each, schema)
+
+
+def between(queries: DataFrame, rows: DataFrame, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 256, most: int = 16_384) -> DataFrame:
+    """(a_id, b_id, distance) from each of queries (id, s) to each of rows (id, s) with another id, block by block; distance is one of ``elastic``'s."""
+
+    def each(qi, x, ci, y):
+        at, to = np.nonzero(qi[:, None] != ci[None, :])
+        for k in range(0, len(at), most):
+            i, j = at[k : k + most], to[k : k + most]
+            yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(ci[j]), pa.array(np.asarray(distance(x[i], y[j]), float))], ["a_id", "b_id", "distance"])
+
+    return block_pairs(queries, rows, each, "a_id long, b_id long, distance double", block)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int = 1, block: int = 1024, distance: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, most: int = 16_384) -> DataFrame:
+    """(q, c, distance, rank): the k nearest of rows (id, s) for each of queries (id, s), ties to the smaller id; not itself.
+
+    By default the squared Euclidean distance: a pair of blocks is one matrix
+    product, which rules out all but a few rows a query; these are measured exactly.
+    Any other distance is measured for all pairs. Distances count to nine decimals.
+    Rows of another length are no neighbours under the default.
+    """
+
+    def told(qi, ci, row, col, d):
+        d = np.round(d, 9)
+        order = np.lexsort((ci[col], d, row))
+        row, col, d = row[order], col[order], d[order]
+        first = np.searchsorted(row, row)
+        keep = (np.arange(len(row)) - first < k) & np.isfinite(d)
+        return pa.RecordBatch.from_arrays([pa.array(qi[row[keep]]), pa.array(ci[col[keep]]), pa.array(d[keep])], ["q", "c", "distance"])
+
+    def euclidean(qi, x, ci, y):
+        if x.shape[1] != y.shape[1]:
+            return
+        nx, ny = (x * x).sum(1), (y * y).sum(1)
+        rough = nx[:, None] + ny[None, :] - 2 * (x @ y.T)
+        rough[qi[:, None] == ci[None, :]] = np.inf
+        far = np.partition(rough, min(k, len(ci)) - 1, axis=1)[:, min(k, len(ci)) - 1]
+        row, col = np.nonzero(rough <= far[:, None] + 1e-9 + 1e-11 * (nx[:, None] + ny[None, :]))
+        good = qi[row] != ci[col]
+        row, col = row[good], col[good]
+        yield told(qi, ci, row, col, ((x[row] - y[col]) ** 2).sum(1))
+
+    def other(qi, x, ci, y):
+        row, col = np.nonzero(qi[:, None] != ci[None, :])
+        d = np.concatenate([np.asarray(distance(x[row[i : i + most]], y[col[i : i + most]]), float) for i in range(0, len(row), most)]) if len(row) else np.zeros(0)
+        yield told(qi, ci, row, col, d)
+
+    hits = block_pairs(queries, rows, euclidean if distance is None else other, "q long, c long, distance double", block if distance is None else min(block, 256))
     rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "c"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -1,4 +1,8 @@
-"""Series transformers as column expressions over ARRAY<DOUBLE>: no shuffle, no Python."""
+"""Series transformers as column expressions over ARRAY<DOUBLE>: no shuffle, no Python.
+
+A null series gives null, an empty one null where a mean or an extreme is asked and an
+empty series elsewhere; divisors of 0 give null but where a function says otherwise.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Standard normal breakpoints by alphabet size, to two decimals. Fixed values.
-BREAKPOINTS = {2: [0.0], 3: [-0.43, 0.43], 4: [-0.67, 0.0, 0.67], 5: [-0.84, -0.25, 0.25, 0.84], 6: [-0.97, -0.43, 0.0, 0.43, 0.97]}
+BREAKPOINTS = {
+    2: [0.0], 3: [-0.43, 0.43], 4: [-0.67, 0.0, 0.67], 5: [-0.84, -0.25, 0.25, 0.84], 6: [-0.97, -0.43, 0.0, 0.43, 0.97],
+    7: [-1.07, -0.57, -0.18, 0.18, 0.57, 1.07], 8: [-1.15, -0.67, -0.32, 0.0, 0.32, 0.67, 1.15], 9: [-1.22, -0.76, -0.43, -0.14, 0.14, 0.43, 0.76, 1.22], 10: [-1.28, -0.84, -0.52, -0.25, 0.0, 0.25, 0.52, 0.84, 1.28],
+}
 
 
 def total(a: Column, f: Callable[[Column], Column] = lambda x: x) -> Column:
@@ -22,15 +29,16 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def mean(a: Column) -> Column:
-    return total(a) / F.size(a)
+    return F.try_divide(total(a), F.size(a))
 
 
 def variance(a: Column) -> Column:
-    return let(mean(a), lambda m: total(a, lambda x: (x - m) * (x - m)) / F.size(a))
+    return let(mean(a), lambda m: F.try_divide(total(a, lambda x: (x - m) * (x - m)), F.size(a)))
 
 
 def indices(n: Column | int) -> Column:
-    return F.sequence(F.lit(0), (F.lit(n) if isinstance(n, int) else n) - 1)
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).otherwise(F.when(n.isNotNull(), F.array().cast("array<int>")))
 
 
 def at(a: Column, i: Column) -> Column:
@@ -53,16 +61,17 @@ def interval(a: Column) -> Column:
 
 
 def differences(a: Column, lag: int = 1, former: bool = False) -> Column:
-    n = F.size(a) - lag
+    n = F.greatest(F.size(a) - lag, F.lit(0))
     sign = -1.0 if former else 1.0
     return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(lag + 1), n), lambda x, y: (x - y) * sign)
 
 
 def derivative(a: Column) -> Column:
-    """((x[i] - x[i-1]) + (x[i+1] - x[i-1]) / 2) / 2, with the ends copied from their neighbours."""
+    """((x[i] - x[i-1]) + (x[i+1] - x[i-1]) / 2) / 2, with the ends copied from their neighbours; zeros for two points, null for one."""
     inner = lambda i: ((at(a, i) - at(a, i - 1)) + (at(a, i + 1) - at(a, i - 1)) / 2) / 2
     last = F.size(a) - 2
-    return F.transform(a, lambda x, i: inner(F.least(F.greatest(i, F.lit(1)), last)))
+    full = F.transform(a, lambda x, i: inner(F.least(F.greatest(i, F.lit(1)), last)))
+    return F.when(F.size(a) > 2, full).when(F.size(a) == 1, F.array(F.lit(None).cast("double"))).otherwise(F.transform(a, lambda x: x * 0))
 
 
 def clip(a: Column) -> Column:
@@ -75,8 +84,10 @@ def paa(a: Column, frames: int = 8) -> Column:
 
     def frame(f: Column) -> Column:
         lo, hi = f * size, (f + 1) * size
-        parts = F.transform(a, lambda x, i: x * F.greatest(F.lit(0.0), F.least((i + 1).cast("double"), hi) - F.greatest(i.cast("double"), lo)))
-        return total(parts) / size
+        first = F.floor(lo).cast("int")
+        inside = F.slice(a, first + 1, F.greatest(F.ceil(hi).cast("int") - first, F.lit(0)))
+        parts = F.transform(inside, lambda x, i: x * F.greatest(F.lit(0.0), F.least((first + i + 1).cast("double"), hi) - F.greatest((first + i).cast("double"), lo)))
+        return F.try_divide(total(parts), size)
 
     return F.transform(indices(frames), frame)
 
@@ -109,11 +120,11 @@ def power_spectrum(a: Column) -> Column:
     """Magnitudes of the first half of the discrete Fourier coefficients."""
     n = F.size(a)
     part = lambda k, f: total(F.transform(a, lambda x, i: x * f(2 * math.pi * i * k / n)))
-    return F.transform(F.sequence(F.lit(0), (n / 2).cast("int") - 1), lambda k: F.sqrt(F.pow(part(k, F.cos), 2) + F.pow(part(k, F.sin), 2)))
+    return F.transform(indices(F.floor(n / 2).cast("int")), lambda k: F.sqrt(F.pow(part(k, F.cos), 2) + F.pow(part(k, F.sin), 2)))
 
 
 def autocorrelation(a: Column, lags: int = 10) -> Column:
-    """Correlation of the series with itself at lags 1 to lags, with the moments of the overlapping parts."""
+    """Correlation of the series with itself at lags 1 to lags (its length less 1 at most), with the moments of the overlapping parts; 1 if neither varies, 0 if one does not."""
 
     def lag(k: Column) -> Column:
         n = F.size(a) - k
@@ -121,19 +132,22 @@ def autocorrelation(a: Column, lags: int = 10) -> Column:
 
         def of(s: Column) -> Column:
             means = F.struct(mean(s["x"]).alias("x"), mean(s["y"]).alias("y"))
-            covariance = let(means, lambda m: total(F.zip_with(s["x"], s["y"], lambda p, q: (p - m["x"]) * (q - m["y"]))) / n)
-            return covariance / F.sqrt(variance(s["x"]) * variance(s["y"]))
+            covariance = let(means, lambda m: F.try_divide(total(F.zip_with(s["x"], s["y"], lambda p, q: (p - m["x"]) * (q - m["y"]))), n))
+            return let(F.struct(variance(s["x"]).alias("x"), variance(s["y"]).alias("y"), covariance.alias("c")), scaled)
+
+        def scaled(v: Column) -> Column:
+            return F.when((v["x"] == 0) & (v["y"] == 0), 1.0).when((v["x"] == 0) | (v["y"] == 0), 0.0).otherwise(F.try_divide(v["c"], F.sqrt(v["x"] * v["y"])))
 
         return let(parts, of)
 
-    return F.transform(F.sequence(F.lit(1), F.lit(lags)), lag)
+    return F.transform(indices(F.least(F.lit(lags), F.size(a) - 1)), lambda k: lag(k + 1))
 
 
 def summary(a: Column) -> Column:
     """Mean, population variance, minimum, maximum, least-squares slope over 0 to n - 1."""
     n = F.size(a)
     middle = (n - 1) / 2
-    slope = total(F.transform(a, lambda x, i: x * (i - middle))) / (n * (n * n - 1) / 12)
+    slope = F.coalesce(F.try_divide(total(F.transform(a, lambda x, i: x * (i - middle))), n * (n * n - 1) / 12), F.lit(0.0))
     return F.array(mean(a), variance(a), F.array_min(a), F.array_max(a), slope)
 
 
@@ -146,7 +160,7 @@ def haar(a: Column) -> Column:
 
 def convolve(a: Column, kernel: list[float]) -> Column:
     weights = F.array(*map(F.lit, kernel))
-    return F.transform(F.sequence(F.lit(1), F.size(a) - len(kernel) + 1), lambda i: total(F.zip_with(F.slice(a, i, F.lit(len(kernel))), weights, lambda x, w: x * w)))
+    return F.transform(indices(F.size(a) - len(kernel) + 1), lambda i: total(F.zip_with(F.slice(a, i + 1, F.lit(len(kernel))), weights, lambda x, w: x * w)))
 
 
 def run_lengths(a: Column, most: int = 16) -> Column:
@@ -157,6 +171,58 @@ def run_lengths(a: Column, most: int = 16) -> Column:
         lambda s, x: F.when(s["side"] == x, F.struct(x.alias("side"), (s["n"] + 1).alias("n"), s["done"].alias("done"))).otherwise(
             F.struct(x.alias("side"), F.lit(1).alias("n"), F.when(s["n"] > 0, F.concat(s["done"], F.array(s["n"]))).otherwise(s["done"]).alias("done"))
         ),
-        lambda s: F.concat(s["done"], F.array(s["n"])),
+        lambda s: F.when(s["n"] > 0, F.concat(s["done"], F.array(s["n"]))).otherwise(s["done"]),
     )
     return let(runs, lambda a: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.size(F.filter(a, lambda r: F.least(r, F.lit(most)) == k)).cast("double")))
+
+
+def moments(a: Column) -> Column:
+    """Sum, sum of squares, mean, population variance, skewness and kurtosis (3 for a normal) as a struct; 0 for the last two without spread."""
+    both = F.struct(mean(a).alias("m"), variance(a).alias("v"))
+    power = lambda s, k: F.try_divide(total(a, lambda x: F.pow((x - s["m"]) / F.sqrt(s["v"]), F.lit(k))), F.size(a))
+    return let(both, lambda s: F.struct(
+        total(a).alias("sum"), total(a, lambda x: x * x).alias("sum_sq"), s["m"].alias("mean"), s["v"].alias("variance"),
+        F.when(s["v"] > 0, power(s, 3)).otherwise(0.0).alias("skew"), F.when(s["v"] > 0, power(s, 4)).otherwise(0.0).alias("kurtosis"),
+    ))
+
+
+def slope_ref(a: Column) -> Column:
+    """(sum of x_i i - (sum x)^2 / n) / (sum x^2 - (sum x)^2 / n), 0 where the divisor is."""
+    s = F.struct(total(a).alias("s"), total(a, lambda x: x * x).alias("q"), total(F.transform(a, lambda x, i: x * i)).alias("w"))
+    return let(s, lambda t: F.coalesce(F.try_divide(t["w"] - t["s"] * t["s"] / F.size(a), t["q"] - t["s"] * t["s"] / F.size(a)), F.lit(0.0)))
+
+
+def argmax(a: Column) -> Column:
+    return F.array_position(a, F.array_max(a)) - 1
+
+
+def argmin(a: Column) -> Column:
+    return F.array_position(a, F.array_min(a)) - 1
+
+
+def resized(a: Column, n: Column | int, by: Column | None = None) -> Column:
+    """The first n values; a shorter series is filled up with its mean, or what is given."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.concat(F.slice(a, F.lit(1), F.least(F.size(a), n)), F.array_repeat(mean(a) if by is None else by, F.greatest(n - F.size(a), F.lit(0))))
+
+
+def without_points(a: Column, places: list[int]) -> Column:
+    return F.filter(a, lambda x, i: ~i.isin(places))
+
+
+def points(a: Column, places: list[int]) -> Column:
+    return F.array(*[F.get(a, F.lit(i)) for i in places])
+
+
+def sliding(a: Column, size: int) -> Column:
+    return F.transform(indices(F.size(a) - size + 1), lambda i: F.slice(a, i + 1, F.lit(size)))
+
+
+def words(a: Column, size: int = 10, frames: int = 4, alphabet: int = 4) -> Column:
+    """The SAX word of each z-normalised window, as letters."""
+    letters = F.lit("abcdefghij")
+    return F.transform(sliding(a, size), lambda w: F.array_join(F.transform(sax(standardise(w), frames, alphabet), lambda x: F.substring(letters, x.cast("int") + 1, F.lit(1))), ""))
+
+
+def transposed(dims: Column) -> Column:
+    return F.transform(indices(F.size(F.get(dims, F.lit(0)))), lambda t: F.transform(dims, lambda d: F.get(d, t)))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators import batch as B
 from corvane.operators import distances as D
+from corvane.operators import elastic
 from corvane.operators import evaluation as E
 from corvane.operators import series as S
 from corvane.operators import table as T
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from corvane.registry import QUERIES, SQL, Query, instances, query, read
 
 BASE = """WITH raw AS (SELECT vec_id AS series_id, label, [CAST(x AS DOUBLE) for x in embedding] AS s FROM embeddings),
 centred AS (SELECT *, list_avg(s) AS m FROM raw), spread AS (SELECT *, list_avg([(x - m) * (x - m) for x in s]) AS var FROM centred),
@@ -21,15 +22,6 @@ b AS (SELECT *, [CASE WHEN var < 1e-6 THEN 0.0 ELSE (x - m) / sqrt(var) END for
 MEAN, VAR, Z = "m", "var", "z"
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series_id, label, s) of the embeddings table."""
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("series_id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("s"))
-
-
 def _long(df: DataFrame) -> DataFrame:
     return df.select("series_id", F.posexplode("v").alias("t", "x")).select("series_id", F.col("t").cast("long").alias("t"), (F.round("x", 6) + 0.0).alias("value"))
 
@@ -37,15 +29,17 @@ def _long(df: DataFrame) -> DataFrame:
 def series(name: str, f: Callable[[Column], Column], sql: str) -> None:
     """A transformer's query: its values in long form. sql: the same list from the list s."""
     QUERIES[name] = lambda spark, sf_dir: _long(instances(spark, sf_dir).select("series_id", f(F.col("s")).alias("v")))
-    SQL[name] = f"{BASE}, r AS (SELECT series_id, {sql} AS v FROM b), l AS (SELECT series_id, v, unnest(range(1, len(v) + 1)) AS t FROM r) SELECT series_id, CAST(t - 1 AS BIGINT) AS t, ROUND(CAST(v[t] AS DOUBLE), 6) + 0.0 AS value FROM l"
+    SQL[name] = _series_sql(sql)
 
 
-def query(name: str, sql: str):
-    def add(f):
-        QUERIES[name], SQL[name] = f, sql
-        return f
+def _series_sql(sql: str) -> str:
+    return f"{BASE}, r AS (SELECT series_id, {sql} AS v FROM b), l AS (SELECT series_id, v, unnest(range(1, len(v) + 1)) AS t FROM r) SELECT series_id, CAST(t - 1 AS BIGINT) AS t, ROUND(CAST(v[t] AS DOUBLE), 6) + 0.0 AS value FROM l"
 
-    return add
+
+def batched(name: str, f: B.Matrix, sql: str) -> None:
+    """As series, for a transformer over matrices of series."""
+    QUERIES[name] = lambda spark, sf_dir: _long(B.transform(instances(spark, sf_dir).select("series_id", "s").repartition(8), f))
+    SQL[name] = _series_sql(sql)
 
 
 def _each(expression: str, n: str = "len(s)", first: int = 0) -> str:
@@ -71,10 +65,10 @@ series("clipping", S.clip, f"[CASE WHEN x < {MEAN} THEN 0.0 ELSE 1.0 END for x i
 series("paa_even", S.paa, PAA)
 series("paa_fractional", lambda a: S.paa(a, 7), PAA.replace("8.0", "7.0").replace("range(0, 8)", "range(0, 7)"))
 series("sax_symbols", lambda a: S.sax(S.standardise(a)), f"[CAST((x >= -0.67)::INT + (x >= 0.0)::INT + (x >= 0.67)::INT AS DOUBLE) for x in {PAA.replace('s[j', 'z[j')}]")
-series("dct", S.cosine, _each(_sum(f"s[j + 1] * cos(i * (j + 0.5) * {PI} / len(s))")))
-series("dst", S.sine, _each(_sum(f"s[j + 1] * sin(i * (j + 0.5) * {PI} / len(s))")))
-series("hilbert", S.hilbert, _each(_sum("CASE WHEN i = j THEN 0.0 ELSE s[j + 1] / (i - j) END")))
-series("power_spectrum", S.power_spectrum, _each(f"sqrt(pow({_sum(f's[j + 1] * cos(2 * {PI} * j * i / len(s))')}, 2) + pow({_sum(f's[j + 1] * sin(2 * {PI} * j * i / len(s))')}, 2))", "len(s) // 2"))
+batched("dct", B.cosine, _each(_sum(f"s[j + 1] * cos(i * (j + 0.5) * {PI} / len(s))")))
+batched("dst", B.sine, _each(_sum(f"s[j + 1] * sin(i * (j + 0.5) * {PI} / len(s))")))
+batched("hilbert", B.hilbert, _each(_sum("CASE WHEN i = j THEN 0.0 ELSE s[j + 1] / (i - j) END")))
+batched("power_spectrum", B.power_spectrum, _each(f"sqrt(pow({_sum(f's[j + 1] * cos(2 * {PI} * j * i / len(s))')}, 2) + pow({_sum(f's[j + 1] * sin(2 * {PI} * j * i / len(s))')}, 2))", "len(s) // 2"))
 series("dwt_haar", S.haar, f"list_concat({_each('(s[2 * i + 1] + s[2 * i + 2]) / sqrt(2)', 'len(s) // 2')}, {_each('(s[2 * i + 1] - s[2 * i + 2]) / sqrt(2)', 'len(s) // 2')})")
 series("convolution", lambda a: S.convolve(a, [0.25, 0.5, 0.25]), _each("0.25 * s[i + 1] + 0.5 * s[i + 2] + 0.25 * s[i + 3]", "len(s) - 2"))
 series("reverse_series", lambda a: F.reverse(a), "list_reverse(s)")
@@ -110,24 +104,25 @@ def column_normalise(spark, sf_dir):
     return T.column_interval(points, "t", "x").select("series_id", F.col("t").cast("long").alias("t"), (F.round("value", 6) + 0.0).alias("value"))
 
 
-def _neighbours(name: str, distance: Callable[[Column, Column], Column], sql: str) -> None:
-    """Distances from the first ten series to all others."""
+def _neighbours(name: str, distance: Callable, sql: str) -> None:
+    """Distances from the series whose ids 100 divides to all others."""
 
     def run(spark, sf_dir):
-        rows = instances(spark, sf_dir)
-        few = rows.where("series_id < 10").select(F.col("series_id").alias("q"), F.col("s").alias("a"))
-        return rows.join(F.broadcast(few), F.col("q") != F.col("series_id")).select("q", F.col("series_id").alias("c"), (F.round(distance(F.col("a"), F.col("s")), 6) + 0.0).alias("distance"))
+        rows = instances(spark, sf_dir).select(F.col("series_id").alias("id"), "s")
+        found = D.between(rows.where("id % 100 = 0"), rows, distance)
+        return found.select(F.col("a_id").alias("q"), F.col("b_id").alias("c"), (F.round("distance", 6) + 0.0).alias("distance"))
 
     QUERIES[name] = run
-    SQL[name] = f"{BASE} SELECT x.series_id AS q, y.series_id AS c, ROUND({sql}, 6) + 0.0 AS distance FROM b x JOIN b y ON x.series_id < 10 AND x.series_id <> y.series_id"
+    SQL[name] = f"{BASE} SELECT x.series_id AS q, y.series_id AS c, ROUND({sql}, 6) + 0.0 AS distance FROM b x JOIN b y ON x.series_id % 100 = 0 AND x.series_id <> y.series_id"
 
 
 N = "range(1, len(x.s) + 1)"
-_neighbours("euclidean", D.squared_euclidean, f"list_sum([(x.s[i] - y.s[i]) * (x.s[i] - y.s[i]) for i in {N}])")
-_neighbours("manhattan", D.manhattan, f"list_sum([abs(x.s[i] - y.s[i]) for i in {N}])")
-_neighbours("chebyshev", D.chebyshev, f"list_max([abs(x.s[i] - y.s[i]) for i in {N}])")
+_neighbours("euclidean", elastic.euclidean, f"list_sum([(x.s[i] - y.s[i]) * (x.s[i] - y.s[i]) for i in {N}])")
+_neighbours("manhattan", lambda a, b: np.abs(a - b).sum(1), f"list_sum([abs(x.s[i] - y.s[i]) for i in {N}])")
+_neighbours("chebyshev", lambda a, b: np.abs(a - b).max(1), f"list_max([abs(x.s[i] - y.s[i]) for i in {N}])")
 HI, LO = "list_max(x.s[greatest(i - 5, 1):least(i + 5, len(x.s))])", "list_min(x.s[greatest(i - 5, 1):least(i + 5, len(x.s))])"
-_neighbours("lb_keogh", lambda a, b: D.lb_keogh(a, b, 5), f"list_sum([CASE WHEN y.s[i] > {HI} THEN pow({HI} - y.s[i], 2) WHEN y.s[i] < {LO} THEN pow({LO} - y.s[i], 2) ELSE 0.0 END for i in {N}])")
+_neighbours("minkowski_3", lambda a, b: (np.abs(a - b) ** 3).sum(1) ** (1 / 3), f"pow(list_sum([pow(abs(x.s[i] - y.s[i]), 3) for i in {N}]), 1.0 / 3)")
+_neighbours("lb_keogh", lambda a, b: elastic.lb_keogh(a, b, 5), f"list_sum([CASE WHEN y.s[i] > {HI} THEN pow({HI} - y.s[i], 2) WHEN y.s[i] < {LO} THEN pow({LO} - y.s[i], 2) ELSE 0.0 END for i in {N}])")
 
 NEAR = BASE + f", zs AS (SELECT series_id, label, z AS s FROM b), d AS (SELECT x.series_id AS q, x.label, y.series_id AS c, y.label AS other, ROUND(list_sum([(x.s[i] - y.s[i]) * (x.s[i] - y.s[i]) for i in {N}]), 9) AS distance FROM zs x JOIN zs y ON x.series_id <> y.series_id)"
 
@@ -162,6 +157,8 @@ def _elastic(name: str, distance) -> None:
     QUERIES[name] = run
 
 
+for _name in ("wdtw", "ddtw", "wddtw", "msm", "twed", "pdtw", "cid"):
+    _elastic(_name, elastic.DISTANCES[_name])
 _elastic("dtw", D.dtw_many)
 _elastic("erp", D.erp_many)
 _elastic("lcss", D.lcss_many)
@@ -170,7 +167,10 @@ for name, (run, sql) in {**T.queries(read), **E.queries(read)}.items():
     QUERIES[name], SQL[name] = run, sql
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+from corvane.catalog import evaluation, models, series_more, sources, table  # noqa: E402, F401  they register themselves
+
+
+def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
