@@ -44,7 +44,7 @@ def number(x: Column) -> Column:
 
 
 def _ordered(df: DataFrame, name: str) -> DataFrame:
-    return numbered(df, "at", name).drop("at")
+    return numbered(df, "at", name).select(name, *[c for c in df.columns if c != "at"])
 
 
 # .ts
