@@ -4,36 +4,54 @@ Headers are read on the driver: the first lines of one file. Data lines are pars
 column expressions, wherever the files lie that Spark reads. Missing values are null.
 Writers make a folder of part files with the header in the first; readers take a file,
 a folder or a pattern. Rows of text have no order of their own but that of files and
-places in them, which ``series_id`` and ``rid`` follow.
+places in them, which ``series_id`` and ``rid`` follow: files by their paths, whatever
+their sizes (Spark's own scan deals out large files first).
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.operators.rows import numbered
-
 HEADER = 100_000
 
 
+def split() -> Column:
+    """The split of a file that a row comes from: its path and first byte, which order the splits of a folder."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, at): at rises along each file, and files follow each other."""
-    return spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    """(line, at): at is the line's split; lines of a split follow each other in one task."""
+    return spark.read.text(path).select(F.col("value").alias("line"), split().alias("at"))
+
+
+def first_lines(spark: SparkSession, path: str) -> Iterator[str]:
+    """The first HEADER lines in order, file by file and split by split, read as they are asked for."""
+    text, n = spark.read.text(path), 0
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    for file in sorted(text.inputFiles()):
+        own = F.col("_metadata.file_path").isin(file, file.replace(":///", ":/", 1))  # Spark writes an empty authority either way
+        for r in text.where(own).where(place < HEADER).toLocalIterator():
+            if n == HEADER:
+                return
+            n += 1
+            yield r["value"]
 
 
 def head(spark: SparkSession, path: str, until: str) -> list[str]:
     """The lines before the one that matches until, HEADER at most."""
     out: list[str] = []
-    for r in spark.read.text(path).limit(HEADER).toLocalIterator():
-        if re.match(until, r["value"].strip(), re.I):
+    for line in first_lines(spark, path):
+        if re.match(until, line.strip(), re.I):
             return out
-        out.append(r["value"].strip())
+        out.append(line.strip())
     raise ValueError(f"no line of {path} matches {until}")
 
 
@@ -44,7 +62,19 @@ def number(x: Column) -> Column:
 
 
 def _ordered(df: DataFrame, name: str) -> DataFrame:
-    return numbered(df, "at", name).select(name, *[c for c in df.columns if c != "at"])
+    """Rows numbered by split and place: a row's place among its split's, which one task reads in order, after the rows of the splits before.
+
+    A row for each split is counted; no rows are moved.
+    """
+    spark, key = df.sparkSession, "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:  # else it follows the executors of the moment, and the two scans might split files apart
+        spark.conf.set(key, str(max(2, spark.sparkContext.defaultParallelism)))
+    rows = df.withColumn("__id", F.monotonically_increasing_id())
+    sizes = rows.groupBy("at").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("at").alias("__split"), (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__offset"))
+    found = rows.join(F.broadcast(sizes), F.col("at") == F.col("__split"))
+    return found.select((F.col("__id") + F.col("__offset")).cast("long").alias(name), *[c for c in df.columns if c != "at"])
 
 
 # .ts
@@ -78,10 +108,11 @@ def _text(x: Column) -> Column:
 
 
 def _written(header: list[str], data: DataFrame, path: str) -> None:
-    """data: (at, line), at from 0 on; the header stands before."""
+    """data: (at, line), in the order of at; the header stands before, all of it in the first file."""
     spark = data.sparkSession
-    top = spark.createDataFrame([(i - len(header), h) for i, h in enumerate(header)], "at long, line string")
-    top.union(data.select(F.col("at").cast("long").alias("at"), "line")).repartitionByRange("at").sortWithinPartitions("at").select("line").write.text(path)
+    top = spark.createDataFrame([(None, i, h) for i, h in enumerate(header)], "at long, top int, line string")
+    rows = top.union(data.select(F.col("at").cast("long").alias("at"), F.lit(None).cast("int").alias("top"), "line"))
+    rows.repartitionByRange("at").sortWithinPartitions("at", F.col("top").asc_nulls_last()).select("line").write.text(path)
 
 
 def write_ts(df: DataFrame, path: str, name: str, key: str = "series_id", label: str | None = "label", dims: str = "dims") -> None:
@@ -236,7 +267,7 @@ def read_delimited_series(spark: SparkSession, path: str, sep: str = r"[,\s]+")
 
 def c45_names(spark: SparkSession, path: str) -> tuple[list[str], list[tuple[str, str]]]:
     """Classes, and (name, kind) of the attributes of a .names file; kinds: continuous, ignore, or the labels as they stand."""
-    text = "\n".join(r["value"] for r in spark.read.text(path).limit(HEADER).collect())
+    text = "\n".join(first_lines(spark, path))
     entries = [e.strip() for e in re.split(r"\.\s*(?:\n|$)", re.sub(r"\|.*", "", text)) if e.strip()]
     classes = [c.strip() for c in entries[0].split(",")]
     return classes, [tuple(x.strip() for x in e.split(":", 1)) for e in entries[1:]]
@@ -275,7 +306,7 @@ def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
 def read_xrff(spark: SparkSession, path: str) -> DataFrame:
     """(rid, values): the instances of an XML file as arrays of text, null where a value is marked missing."""
     value = "array<struct<_VALUE:string,_missing:string>>"
-    rows = spark.read.schema(f"value {value}").option("rowTag", "instance").xml(path).select(F.monotonically_increasing_id().alias("at"), "value")
+    rows = spark.read.schema(f"value {value}").option("rowTag", "instance").xml(path).select(split().alias("at"), "value")
     return _ordered(rows.select("at", F.transform("value", lambda v: F.when(F.coalesce(v["_missing"], F.lit("no")) != "yes", F.trim(v["_VALUE"]))).alias("values")), "rid")
 
 
@@ -293,7 +324,7 @@ def write_results(df: DataFrame, path: str, facts: dict, parameters: str = "", k
 
 def read_results(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     """The header's facts, and (rid, y_true, y_pred, dist, time); fields are told apart by place, so build time is the second of line three."""
-    first = [r["value"] for r in spark.read.text(path).limit(3).collect()]
+    first = list(islice(first_lines(spark, path), 3))
     names, figures = first[0].split(","), first[2].split(",")
     facts = dict(zip(("dataset", "estimator", "split", "fold", "unit", "comment"), names)) | {"parameters": first[1], "accuracy": float(figures[0]), "build": float(figures[1]), "test": float(figures[2]), "classes": int(figures[5])}
     rows = _ordered(lines(spark, path), "n").where("n > 2")
