@@ -30,7 +30,8 @@ KINDS = ["assign", "access", "hex", "owned"]
 PATTERNS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}", "owned": "[A-Za-z0-9_-]{8,}"}
 #: A free-standing token of so many characters may be a credential by itself.
 LONG = 20
-SOME = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[0-9][A-Za-z0-9_-]{7}|[A-Za-z0-9_-]{4}[0-9][A-Za-z0-9_-]{3}|[A-Za-z0-9_-]{7}[0-9]"
+#: Whether any pattern can match; of a token, the digit may stand anywhere.
+SOME = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{8}"
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,hash:string,live:boolean>>"
 
 

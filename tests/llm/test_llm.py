@@ -316,3 +316,20 @@ def test_media_columns(spark, docs, rows):
     assert [r.error is None for r in media.media_columns(bad, "data", "id").orderBy("id").collect()] == [False, False, True]
     found = media.stored_texts(docs).collect()
     assert sorted(r.n_bytes for r in found) == sorted(len((r[1] or "").encode()) for r in rows)
+
+
+@pytest.mark.parametrize("at", range(10))
+@pytest.mark.parametrize("size", [8, 9, 10])
+def test_secrets_look_at_digits_anywhere_in_a_token(at, size):
+    import re
+
+    token = "kqwpzxmvbt"[:size]
+    token = token[: min(at, size - 1)] + "7" + token[min(at, size - 1) + 1 :]
+    assert re.search(secrets.SOME, f"use {token} here") and not re.search(secrets.SOME, "use kqwpzxmvbt here") and not re.search(secrets.SOME, "use k7wpzxm here")
+
+
+def test_secrets_repeated_value_with_an_early_digit(spark):
+    """The value of a credential is owned in a text that has nothing else, wherever its digit stands."""
+    docs = spark.createDataFrame([(1, "password = k7wpqzxm", "en", "a"), (2, "use k7wpqzxm here", "en", "a")], "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: [(s["start"], s["end"], s["kind"]) for s in r.spans] for r in secrets.scan_secrets(docs).collect()}
+    assert found == {1: [(0, 19, 0)], 2: [(4, 12, 3)]}
