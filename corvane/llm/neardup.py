@@ -44,6 +44,8 @@ SHINGLE = 5
 SAMPLE = 8
 COMMON = 1 << 18
 SIMILAR = 0.8
+#: Longs of a sketch that goes with each first shingle; the shortest sketch has as many.
+BRIEF = 8
 #: Texts whose sets a worker holds at a time.
 PASS = 256
 
@@ -87,6 +89,11 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def brief(c: str) -> list[Column]:
+    """A sketch laid over itself until 512 bits are left: the columns brief0 to brief7."""
+    return [F.aggregate(F.sequence(F.lit(k + 1), F.size(c), F.lit(BRIEF)), F.lit(0).cast("long"), lambda x, at: x.bitwiseXOR(F.element_at(c, at))).alias(f"brief{k}") for k in range(BRIEF)]
+
+
 def differ(a: str, b: str) -> Column:
     """Bits in which two sketches differ; of lengths up to a factor of two apart."""
 
@@ -213,16 +220,23 @@ def duplicates(rows: DataFrame, similar: float = SIMILAR, seeds: int = SEEDS) ->
         return F.least(f"left{a}", f"left{b}") >= similar / (1 + similar) * (F.col(f"size{a}") + F.col(f"size{b}")) - 1e-6
 
     met = unsettled(lead.select("row", "size", "begin"), True)
-    # each text against the pivot that it shares most of its first shingles with
-    heads = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("row").alias("x"), "row", "left", "size", "root")).alias("p"))
+    # each text against the pivot that it shares most of its first shingles with; of a shingle's texts that is the one
+    # with the fewest rarer ones of its own before it, as the form that others were made from
+    own = (F.col("size") - F.col("left")) / F.col("size")
+    heads = met.groupBy("key").agg(F.min(F.struct(own.alias("own"), F.xxhash64("row").alias("x"), "row", "left", "size", "root")).alias("p"))
     heads = heads.select("key", *[F.col(f"p.{x}").alias(f"{x}_p") for x in ("row", "left", "size", "root")])
     stars = met.join(heads, "key").where((F.col("root") != F.col("root_p")) & enough("", "_p")).groupBy("row", "row_p").agg(F.count("*").alias("n"))
     stars = stars.groupBy("row").agg(F.max(F.struct("n", "row_p"))["row_p"].alias("pivot"))
     roots = merged(roots, linked(stars.select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")), "stars"), "neardup-roots")
     before, met = met, unsettled(met.drop("root"), False)
     discard(before)
-    one, two = (met.select("key", *[F.col(x).alias(f"{x}_{c}") for x in ("row", "root", "left", "size")]) for c in "ab")
-    rest = one.join(two, "key").where((F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b")) & enough("_a", "_b"))
+    # short sketches in the join itself, so that pairs too far apart are no rows
+    short = lead.join(met.select("row").distinct().hint("merge"), "row").select("row", *brief("sketch"))
+    before, met = met, written(met.join(short.hint("merge"), "row"), "neardup-short")
+    discard(before)
+    one, two = (met.select("key", *[F.col(x).alias(f"{x}_{c}") for x in met.columns if x != "key"]) for c in "ab")
+    bits = sum((F.bit_count(F.col(f"brief{k}_a").bitwiseXOR(F.col(f"brief{k}_b"))) for k in range(BRIEF)), F.lit(0))
+    rest = one.join(two, "key").where((F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b")) & enough("_a", "_b") & (bits <= apart * (F.col("size_a") + F.col("size_b")) + 1e-6))
     roots = merged(roots, linked(rest.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")), "rest"), "neardup-roots")
     kept = first.join(roots, first["row"] == roots["node"], "left").select("same", F.coalesce("root", "row").alias("root"))
     gone = written(every.select("row", "same").join(kept, "same").where("row <> root").select("row"), "neardup-gone")

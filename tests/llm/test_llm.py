@@ -333,3 +333,26 @@ def test_secrets_repeated_value_with_an_early_digit(spark):
     docs = spark.createDataFrame([(1, "password = k7wpqzxm", "en", "a"), (2, "use k7wpqzxm here", "en", "a")], "doc_id long, text string, lang string, source string")
     found = {r.doc_id: [(s["start"], s["end"], s["kind"]) for s in r.spans] for r in secrets.scan_secrets(docs).collect()}
     assert found == {1: [(0, 19, 0)], 2: [(4, 12, 3)]}
+
+
+def test_near_duplicates_of_a_form_meet_it_first(spark, monkeypatch):
+    rnd, form = random.Random(5), [f"f{k}" for k in range(150)]
+    texts = [form]
+    for i in range(1000):
+        words = list(form)
+        for at in rnd.sample(range(150), 1 + i % 6):
+            words[at] = f"e{at}"
+        texts.append(words)
+    rnd.shuffle(texts)
+    texts, rows = [" ".join(t) for t in texts], {}
+
+    def counted(df, name):
+        out = written(df, name)
+        rows[name] = out.count()
+        return out
+
+    written = neardup.written
+    monkeypatch.setattr(neardup, "written", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    assert {r.row for r in neardup.duplicates(df).collect()} == brute_force_groups(texts)
+    assert rows["neardup-rest"] <= 3 * len(texts)
