@@ -5,6 +5,8 @@ import os
 import shutil
 import subprocess
 import sys
+import time
+from functools import partial
 
 import numpy as np
 import pytest
@@ -362,3 +364,17 @@ def test_shapelet_profiles_by_blocks(spark):
     found = {(r.id, r.c_id, r.start, r.size): (r.label, r.distance) for r in H.profile(df, H.candidates(df, [4, 6], 2), most=64).collect()}
     want = {(i, c, k, n): (i % 3, H.distances_to(np.array([s[c][k : k + n]]), np.array([s[i]]))[0, 0]) for i in s for c in s for n in (4, 6) for k in range(0, len(s[c]) - n + 1, 2) if len(s[i]) >= n}
     assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("name", ["dtw", "wdtw"])
+@pytest.mark.parametrize("n, m, window", [(9, 9, 1.0), (9, 4, 1.0), (4, 9, 1.0), (7, 7, 0.2), (8, 5, 0.5), (6, 6, 0.0), (1, 1, 1.0), (5, 1, 1.0), (2, 2, 1.0), (70, 66, 1.0), (64, 64, 1.0)])
+def test_every_pair_as_pair_by_pair(monkeypatch, name, n, m, window):
+    monkeypatch.setattr(E, "ROOM", 64)  # several groups of rows
+    rng = np.random.default_rng(n + m)
+    x, y = rng.integers(-9, 10, (7, n)) / 100, rng.integers(-9, 10, (41, m)) / 100  # many just at lcss's 0.01, by rounding on either side of it
+    distance = partial(E.DISTANCES[name], window=window)
+    want = distance(np.repeat(x, len(y), 0), np.tile(y, (len(x), 1))).reshape(len(x), len(y))
+    assert E.whole_of(distance, x, y) and np.array_equal(E.every(distance, x, y), want)
+    assert np.array_equal(E.every(distance, x[:, None, :], y[:, None, :]), want)
+    if name == "lcss" and window == 1:
+        assert np.allclose([[_plain(name, *((a, b) if n >= m else (b, a)), window) for b in y] for a in x], want)
