@@ -366,7 +366,7 @@ def test_shapelet_profiles_by_blocks(spark):
     assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
 
 
-@pytest.mark.parametrize("name", ["dtw", "wdtw"])
+@pytest.mark.parametrize("name", ["dtw", "wdtw", "twed"])
 @pytest.mark.parametrize("n, m, window", [(9, 9, 1.0), (9, 4, 1.0), (4, 9, 1.0), (7, 7, 0.2), (8, 5, 0.5), (6, 6, 0.0), (1, 1, 1.0), (5, 1, 1.0), (2, 2, 1.0), (70, 66, 1.0), (64, 64, 1.0)])
 def test_every_pair_as_pair_by_pair(monkeypatch, name, n, m, window):
     monkeypatch.setattr(E, "ROOM", 64)  # several groups of rows
