@@ -366,7 +366,7 @@ def test_shapelet_profiles_by_blocks(spark):
     assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
 
 
-@pytest.mark.parametrize("name", ["dtw", "wdtw", "twed"])
+@pytest.mark.parametrize("name", ["dtw", "wdtw", "twed", "lcss"])
 @pytest.mark.parametrize("n, m, window", [(9, 9, 1.0), (9, 4, 1.0), (4, 9, 1.0), (7, 7, 0.2), (8, 5, 0.5), (6, 6, 0.0), (1, 1, 1.0), (5, 1, 1.0), (2, 2, 1.0), (70, 66, 1.0), (64, 64, 1.0)])
 def test_every_pair_as_pair_by_pair(monkeypatch, name, n, m, window):
     monkeypatch.setattr(E, "ROOM", 64)  # several groups of rows
@@ -378,3 +378,12 @@ def test_every_pair_as_pair_by_pair(monkeypatch, name, n, m, window):
     assert np.array_equal(E.every(distance, x[:, None, :], y[:, None, :]), want)
     if name == "lcss" and window == 1:
         assert np.allclose([[_plain(name, *((a, b) if n >= m else (b, a)), window) for b in y] for a in x], want)
+
+
+def test_lcss_of_every_pair_takes_words_not_cells():
+    x = np.random.default_rng(1).normal(size=(500, 64)) / 8
+    started = time.perf_counter()
+    found = E.every(E.lcss, x[:100], x)
+    whole, started = time.perf_counter() - started, time.perf_counter()
+    pairs = E.lcss(np.repeat(x[:20], 500, 0), np.tile(x, (20, 1))).reshape(20, 500)
+    assert np.array_equal(found[:20], pairs) and whole / 5 < (time.perf_counter() - started) / 2
