@@ -387,3 +387,21 @@ def test_lcss_of_every_pair_takes_words_not_cells():
     whole, started = time.perf_counter() - started, time.perf_counter()
     pairs = E.lcss(np.repeat(x[:20], 500, 0), np.tile(x, (20, 1))).reshape(20, 500)
     assert np.array_equal(found[:20], pairs) and whole / 5 < (time.perf_counter() - started) / 2
+
+
+@pytest.mark.parametrize("scale, move", [(1.0, 0.0), (1e-25, 0.0), (1.0, 1e5), (1e20, 0.0)])
+@pytest.mark.parametrize("name, options", [("lcss", {}), ("twed", {})])
+def test_nearest_by_matrix(spark, monkeypatch, name, options, scale, move):
+    from corvane.operators import distances as D
+
+    x = np.random.default_rng(2).normal(size=(60, 12))
+    x[31] = x[30] + 1e-11  # one row to nine decimals, two in single precision
+    x[41] = x[40] * (1 + 1e-8)
+    x = x * scale + move
+    measure = partial(E.DISTANCES[name], **options)
+    rows = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(x)], "id long, s array<double>").coalesce(1)
+    found = {(r.q, r["rank"]): (r.c, r.distance) for r in D.nearest(rows, rows, 2, distance=measure).collect()}
+    d = np.round(measure(np.repeat(x, 60, 0), np.tile(x, (60, 1))).reshape(60, 60), 9)
+    d[np.arange(60), np.arange(60)] = np.inf
+    want = {(i, r + 1): (int(c), d[i, c]) for i in range(60) for r, c in enumerate(np.lexsort((np.arange(60), d[i]))[:2])}
+    assert found == want
