@@ -390,8 +390,8 @@ def test_lcss_of_every_pair_takes_words_not_cells():
 
 
 @pytest.mark.parametrize("scale, move", [(1.0, 0.0), (1e-25, 0.0), (1.0, 1e5), (1e20, 0.0)])
-@pytest.mark.parametrize("name, options", [("lcss", {}), ("twed", {})])
-def test_nearest_by_matrix(spark, monkeypatch, name, options, scale, move):
+@pytest.mark.parametrize("name, options", [("dtw", {"window": 0.1}), ("wddtw", {}), ("lcss", {}), ("twed", {})])
+def test_nearest_by_single_precision_first(spark, monkeypatch, name, options, scale, move):
     from corvane.operators import distances as D
 
     x = np.random.default_rng(2).normal(size=(60, 12))
@@ -405,3 +405,7 @@ def test_nearest_by_matrix(spark, monkeypatch, name, options, scale, move):
     d[np.arange(60), np.arange(60)] = np.inf
     want = {(i, r + 1): (int(c), d[i, c]) for i in range(60) for r, c in enumerate(np.lexsort((np.arange(60), d[i]))[:2])}
     assert found == want
+    if name == "dtw" and scale == 1 and not move:
+        single, off = E.rough(measure, x, x)
+        np.fill_diagonal(d, 0.0)
+        assert (abs(single - d) <= off(single)).all() and off(single).max() < 1e-3
