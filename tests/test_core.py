@@ -409,3 +409,30 @@ def test_nearest_by_single_precision_first(spark, monkeypatch, name, options, sc
         single, off = E.rough(measure, x, x)
         np.fill_diagonal(d, 0.0)
         assert (abs(single - d) <= off(single)).all() and off(single).max() < 1e-3
+
+
+@pytest.mark.parametrize("n, m, window", [(12, 12, 1.0), (12, 12, 0.1), (9, 4, 1.0), (4, 9, 0.5), (5, 1, 1.0), (1, 1, 1.0)])
+def test_warping_of_several_dimensions_in_single_precision(monkeypatch, n, m, window):
+    monkeypatch.setattr(E, "COSTS", 16 * n * m)  # several blocks of rows
+    rng = np.random.default_rng(n)
+    x, y = rng.normal(size=(7, 5, n)), rng.normal(size=(41, 5, m))
+    x[2, 0, 0], y[5, 1, -1], y[6, 0, 0] = 1e4, -1e6, 1e4 + 1  # as steep slopes are
+    measure = partial(E.dtw, window=window)
+    want = measure(np.repeat(x, 41, 0), np.tile(y, (7, 1, 1))).reshape(7, 41)
+    single, off = E.rough(measure, x, y)
+    some = np.isfinite(want)
+    assert np.array_equal(np.isfinite(single), some)
+    assert (abs(np.where(some, single, 0) - np.where(some, want, 0)) <= off(np.where(some, single, 0))).all() and np.median(off(np.where(some, single, 0))) < 1e-2
+
+
+def test_nearest_by_shape_as_pair_by_pair(spark):
+    from corvane.operators import distances as D
+
+    x = np.random.default_rng(4).normal(size=(50, 24)).cumsum(1)
+    x[31], x[41] = x[30], x[40] * (1 + 1e-8)
+    measure = neighbours.shape_distance(lambda w: B.slopes(w, 3), 12)
+    rows = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(x)], "id long, s array<double>").coalesce(1)
+    found = {(r.q, r["rank"]): (r.c, r.distance) for r in D.nearest(rows, rows, 2, distance=measure).collect()}
+    d = np.round(measure(np.repeat(x, 50, 0), np.tile(x, (50, 1))).reshape(50, 50), 9)
+    d[np.arange(50), np.arange(50)] = np.inf
+    assert found == {(i, r + 1): (int(c), d[i, c]) for i in range(50) for r, c in enumerate(np.lexsort((np.arange(50), d[i]))[:2])}
