@@ -436,3 +436,40 @@ def test_nearest_by_shape_as_pair_by_pair(spark):
     d = np.round(measure(np.repeat(x, 50, 0), np.tile(x, (50, 1))).reshape(50, 50), 9)
     d[np.arange(50), np.arange(50)] = np.inf
     assert found == {(i, r + 1): (int(c), d[i, c]) for i in range(50) for r, c in enumerate(np.lexsort((np.arange(50), d[i]))[:2])}
+
+
+@pytest.mark.parametrize("name, options", [("msm", {}), ("msm", {"c": 0.1}), ("msm", {"c": 3.0, "window": 0.2})])
+@pytest.mark.parametrize("n", [64, 12, 2, 1])
+def test_bounds_by_the_straight_path_and_a_band(monkeypatch, name, options, n):
+    monkeypatch.setattr(E, "BAND", 200)  # several groups of rows
+    measure = partial(E.DISTANCES[name], **options)
+    for scale, move in ((1.0, 0.0), (0.125, 0.0), (0.125, 1e3), (10.0, 0.0), (1e-25, 0.0), (1e10, 0.0)):
+        rng = np.random.default_rng(n)
+        x, y = rng.normal(size=(9, n)) * scale + move, rng.normal(size=(33, n)) * scale + move
+        y[3], y[4] = x[2], x[2] * (1 + 1e-9)
+        d = measure(np.repeat(x, 33, 0), np.tile(y, (9, 1))).reshape(9, 33)
+        high, lower = E.straight(measure, x, y)
+        assert (d <= high).all()
+        for limit in (d.min(1), np.sort(d, 1)[:, 5], np.median(d, 1), high.min(1), np.full(9, np.inf)):
+            assert ((lower(limit) <= d) | (d > limit[:, None])).all()
+    for odd in (np.full((2, n), np.nan), np.zeros((2, n + 1)), np.zeros((2, 2, n))):
+        assert E.straight(measure, odd, np.zeros((3, n))) is None
+
+
+@pytest.mark.parametrize("name", ["msm"])
+@pytest.mark.parametrize("scale", [0.125, 0.2, 1.0])
+def test_nearest_measures_few_pairs_in_full(spark, name, scale):
+    from corvane.operators import distances as D
+
+    x = np.random.default_rng(3).normal(size=(200, 64)) * scale
+    x[31], x[41] = x[30], x[40] + 1e-11
+    measure = E.DISTANCES[name]
+    d = np.round(measure(np.repeat(x, 200, 0), np.tile(x, (200, 1))).reshape(200, 200), 9)
+    own = np.eye(200, dtype=bool)
+    d[own] = np.inf
+    want = {(i, r + 1): (int(c), d[i, c]) for i in range(200) for r, c in enumerate(np.lexsort((np.arange(200), d[i]))[:2])}
+    row, col = D.may_be_nearest(*E.straight(measure, x, x), own, 2, lambda i, j: d[i, j])
+    assert {(i, c) for (i, _), (c, _) in want.items()} <= set(zip(row.tolist(), col.tolist(), strict=True))
+    assert scale == 1 or len(row) < 200 * 16  # wide steps leave more
+    rows = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(x)], "id long, s array<double>").coalesce(1)
+    assert {(r.q, r["rank"]): (r.c, r.distance) for r in D.nearest(rows, rows, 2, distance=measure).collect()} == want
