@@ -438,7 +438,7 @@ def test_nearest_by_shape_as_pair_by_pair(spark):
     assert found == {(i, r + 1): (int(c), d[i, c]) for i in range(50) for r, c in enumerate(np.lexsort((np.arange(50), d[i]))[:2])}
 
 
-@pytest.mark.parametrize("name, options", [("msm", {}), ("msm", {"c": 0.1}), ("msm", {"c": 3.0, "window": 0.2})])
+@pytest.mark.parametrize("name, options", [("msm", {}), ("msm", {"c": 0.1}), ("msm", {"c": 3.0, "window": 0.2}), ("twed", {}), ("twed", {"nu": 0.01, "penalty": 0.05}), ("twed", {"nu": 0.0, "penalty": 2.0, "window": 0.2})])
 @pytest.mark.parametrize("n", [64, 12, 2, 1])
 def test_bounds_by_the_straight_path_and_a_band(monkeypatch, name, options, n):
     monkeypatch.setattr(E, "BAND", 200)  # several groups of rows
@@ -456,7 +456,7 @@ def test_bounds_by_the_straight_path_and_a_band(monkeypatch, name, options, n):
         assert E.straight(measure, odd, np.zeros((3, n))) is None
 
 
-@pytest.mark.parametrize("name", ["msm"])
+@pytest.mark.parametrize("name", ["msm", "twed"])
 @pytest.mark.parametrize("scale", [0.125, 0.2, 1.0])
 def test_nearest_measures_few_pairs_in_full(spark, name, scale):
     from corvane.operators import distances as D
